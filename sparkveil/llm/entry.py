@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, packing, quality, sharding
+from . import decontam, fingerprint, langid, packing, quality, sharding
 from .common import held_out, table
 
 
@@ -42,6 +42,19 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents inside benchmark windows of ten words."""
+    found = decontam.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return fingerprint.edited_and_next(table(spark, sf_dir, "documents"))
@@ -52,6 +65,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op2_sharding": op2_sharding,
+    "op7_decontamination": op7_decontamination,
     "op10_fingerprints": op10_fingerprints,
 }
 
