@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, langid, packing, quality, sharding
+from . import decontam, fingerprint, jaccard, langid, packing, quality, sharding
 from .common import held_out, table
 
 
@@ -55,6 +55,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under five-word Jaccard similarity of 0.8 or more."""
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return fingerprint.edited_and_next(table(spark, sf_dir, "documents"))
@@ -66,6 +71,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op2_sharding": op2_sharding,
     "op7_decontamination": op7_decontamination,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_fingerprints": op10_fingerprints,
 }
 
