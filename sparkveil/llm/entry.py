@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, jaccard, langid, packing, quality, sharding
+from . import decontam, fingerprint, jaccard, langid, packing, quality, sharding, suffix
 from .common import held_out, table
 
 
@@ -60,6 +60,13 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that no repeated string of 400 bytes covers."""
+    return suffix.remove(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return fingerprint.edited_and_next(table(spark, sf_dir, "documents"))
@@ -72,6 +79,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op7_decontamination": op7_decontamination,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_fingerprints": op10_fingerprints,
 }
 
