@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, jaccard, langid, packing, quality, sharding, suffix
+from . import chat, decontam, edits, fingerprint, jaccard, langid, packing, quality, sharding, suffix
 from .common import held_out, table
 
 
@@ -16,6 +16,17 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw transcripts of all conversations as canonical turns; the model learns outside the held-out fold."""
+    raw = chat.transcripts(table(spark, sf_dir, "conversations")).withColumn("held_out", held_out("conv_id"))
+    done = chat.format_transcripts(raw, chat.train(raw.where("not held_out")))
+    found = F.transform("turns", lambda t: t["role"])
+    return done.select(
+        "conv_id", "part", "held_out", F.size("roles").alias("n_turns"), F.size("turns").alias("n_found"),
+        F.coalesce(found == F.col("roles"), F.lit(False)).alias("roles_right"), "rendered",
+    )
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score of every whole text, learned from the labels outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -42,6 +53,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after edits that follow from each row."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return edits.counts(edits.sample_edits(docs)).select("doc_id", "n_tokens", "edited_tokens", "n_pretokens", "reencoded")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents inside benchmark windows of ten words."""
     found = decontam.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -74,9 +91,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_chat_format": op3_chat_format,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op2_sharding": op2_sharding,
+    "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
