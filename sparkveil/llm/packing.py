@@ -33,7 +33,7 @@ from .common import materialize
 
 CAPACITY = 2048
 END_ID = 0
-SALT_ROWS = 20_000
+SALT_ROWS = 1_000
 SEARCH_STEPS = 20_000
 
 Filling = tuple[tuple[int, int], ...]  # (length, copies), longest first
@@ -200,8 +200,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     cut = materialize(pieces(docs, tokenizer, capacity, with_ids), "pieces")
     counts = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     lookup = _lookup(complete(counts, capacity))
-    salts = max(1, max(counts.values(), default=0) // SALT_ROWS)
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salts = [max(1, counts.get(length, 0) // SALT_ROWS) for length in range(capacity + 1)]
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(F.lit(salts), F.col("length").cast("int"))))
     before = salted.groupBy("length", "salt").count().selectExpr("length", "salt", "sum(count) over (partition by length order by salt) - count as before")
     ranked = salted.selectExpr("*", "row_number() over (partition by length, salt order by doc_id, piece, ids_crc32) - 1 as at")
     placed = ranked.join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("at"))
