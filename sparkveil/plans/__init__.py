@@ -1,4 +1,4 @@
 """Queries over the given tables, by family; importing this package fills the registry."""
 
-from . import matching, states  # noqa: F401
+from . import aggregates, feeds, matching, states, text  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -68,6 +68,8 @@ BINDINGS = {
 def sql(body: str, *tables: str) -> str:
     """``body`` with the named derived tables in front."""
     extra = body.lstrip()
+    if not tables:
+        return extra
     head = "with " + ", ".join(f"{t} as ({BINDINGS[t]})" for t in tables)
     if extra.lower().startswith("with "):
         return f"{head}, {extra[5:]}"
