@@ -50,7 +50,8 @@ def shard(docs: DataFrame, shards: int = 24, key: str = "doc_id", payload: str =
     ordered = counts.selectExpr("bucket", "sum(count) over (partition by shard order by bucket) - count as first_slot")
     record = F.struct(F.col(key).alias("_k"), F.xxhash64(payload).alias("_h"), *[F.col(c) for c in placed.columns if c != "bucket"])
     gathered = placed.select("bucket", record.alias("r")).groupBy("bucket").agg(F.array_sort(F.collect_list("r"), _by_key).alias("rs"))
-    mixed = gathered.join(ordered, "bucket").select(
+    # shuffle() draws by partition and row: with rows in a fixed order a task that is run again draws the same
+    mixed = gathered.join(ordered, "bucket").sortWithinPartitions("bucket").select(
         "bucket", "first_slot", F.expr(f"posexplode(shuffle(rs, {seed}))").alias("at", "r")
     )
     return mixed.select("r.*", "bucket", (F.col("first_slot") + F.col("at")).cast("long").alias("slot")).drop("_k", "_h")
