@@ -1,4 +1,4 @@
 """Queries over the given tables, by family; importing this package fills the registry."""
 
-from . import aggregates, feeds, matching, search, states, streams, text  # noqa: F401
+from . import aggregates, feeds, matching, merges, search, states, streams, text  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
