@@ -2,9 +2,9 @@
 
 1. Corpus frequencies of all benchmark terms are counted over all documents.
 2. Each window of ten consecutive item words picks its ``RAREST`` rarest terms.
-3. The index stores, for each picked term and document, the positions of the term.
+3. The index stores the postings (term, document, position) of the picked terms.
 4. Offset-adjusted postings meet per document, item and alignment (document position minus item
-   position); an alignment survives if every picked term of some window is there.
+   position); an alignment survives if as many picked terms are there as a window has.
 5. Surviving alignments are read against the document's words, byte for byte, which gives the
    exact hits. ``proximity`` answers the looser question: picked terms of a window within a span.
 
@@ -29,13 +29,14 @@ from .common import materialize
 from .words import encode, word_hashes
 
 WINDOW = 10
-RAREST = 3
+RAREST = 2
 FILTER_BITS = 22
 
 
 def _row_key():
-    """Names a document row: equal rows share it, copies under other ids don't."""
-    return F.unhex(F.md5(F.concat_ws("\x01", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x02")), F.md5(F.coalesce("text", F.lit(""))))))
+    """Names a document row: equal rows share it, copies under other ids don't. Should two rows ever share it
+    by chance, both are read for the alignments of either, and the words decide."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x02")), "text")
 
 
 def item_words(benchmark: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def item_words(benchmark: DataFrame) -> DataFrame:
             yield b.assign(words=[word_hashes(encode(t), "alnum")[0].view(np.int64) for t in b["text"]])
 
     hashed = items.mapInPandas(split, "item_id string, text string, words array<long>").where("size(words) > 0")
-    return materialize(hashed.withColumn("item", F.unhex(F.md5(F.concat_ws("\x01", "item_id", "text")))), "items")
+    return materialize(hashed.withColumn("item", F.xxhash64("item_id", "text")), "items")
 
 
 def term_filter(terms: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -94,44 +95,34 @@ def pick_rarest(items: DataFrame, frequencies: DataFrame, rarest: int = RAREST,
                 out.append(np.unique(np.sort(order + np.arange(len(views))[:, None], axis=1), axis=0).tolist())
             yield pd.DataFrame({"item": b["item"], "windows": out})
 
-    return materialize(rows.mapInPandas(choose, "item binary, windows array<array<int>>"), "windows")
+    return materialize(rows.mapInPandas(choose, "item long, windows array<array<int>>"), "windows")
 
 
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The stored positional index of ``terms``: (term, doc, positions)."""
+    """The stored positional index of ``terms``: (term, doc, p), one row for each posting."""
     packed = term_filter(terms)
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            term, doc, positions = [], [], []
-            for key, text in zip(b["doc"], b["text"], strict=True):
-                h = word_hashes(encode(text), "alnum")[0]
-                at = _kept(h, packed)
-                if not len(at):
-                    continue
-                at = at[np.argsort(h[at], kind="stable")]
-                cut = np.flatnonzero(np.diff(h[at])) + 1
-                runs = np.split(at, cut)
-                term += h[at[np.r_[0, cut]]].view(np.int64).tolist()
-                doc += [key] * len(runs)
-                positions += [r.astype(np.int32) for r in runs]
-            yield pd.DataFrame({"term": term, "doc": doc, "positions": positions}).astype({"term": "int64"})
-
-    raw = docs.select(_row_key().alias("doc"), "text").mapInPandas(post, "term long, doc binary, positions array<int>")
-    return materialize(raw.join(terms.distinct(), "term", "left_semi"), "index")
+            hashes = [word_hashes(encode(t), "alnum")[0] for t in b["text"]]
+            kept = [_kept(h, packed) for h in hashes]
+            yield pd.DataFrame({"doc": b["doc"], "term": [h[k].view(np.int64) for h, k in zip(hashes, kept, strict=True)], "p": [k.astype(np.int32) for k in kept]})
+
+    raw = docs.select(_row_key().alias("doc"), "text").mapInPandas(post, "doc long, term array<long>, p array<int>").where("size(term) > 0")
+    return materialize(raw.select("doc", F.explode(F.arrays_zip("term", "p")).alias("x")).select("x.term", "doc", "x.p"), "index")
 
 
 def aligned(index: DataFrame, items: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc, item, shift): alignments at which all picked terms of some window of the item occur."""
-    picked = windows.select("item", F.explode(F.array_distinct(F.flatten("windows"))).alias("at"))
-    anchors = items.join(picked, "item").select("item", "at", F.element_at("words", F.col("at") + 1).alias("term"))
-    lists = index.join(anchors, "term").select("doc", "item", F.explode("positions").alias("p"), "at")
-    met = lists.groupBy("doc", "item", (F.col("p") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("found"))
-    return (
-        met.join(windows, "item")
-        .where(F.exists("windows", lambda w: F.size(F.array_except(w, "found")) == 0))
-        .select("doc", "item", "shift")
-    )
+    """(doc, item, shift): alignments with as many picked terms as a window of the item has.
+
+    Position and item word fix the alignment, so a document gives each picked term of an alignment once
+    and counting rows counts terms.
+    """
+    picked = windows.select("item", F.array_min(F.transform("windows", F.size)).alias("need"), F.explode(F.array_distinct(F.flatten("windows"))).alias("at"))
+    anchors = items.join(picked, "item").select("item", "need", "at", F.element_at("words", F.col("at") + 1).alias("term"))
+    lists = index.join(anchors, "term").select("doc", "item", (F.col("p") - F.col("at")).alias("shift"), "need")
+    met = lists.groupBy("doc", "item", "shift").agg(F.count("*").alias("found"), F.max("need").alias("need"))
+    return met.where("found >= need").select("doc", "item", "shift")
 
 
 def proximity(index: DataFrame, items: DataFrame, windows: DataFrame, span: int = 2 * WINDOW) -> DataFrame:
@@ -140,7 +131,7 @@ def proximity(index: DataFrame, items: DataFrame, windows: DataFrame, span: int
     wanted = one.join(items.select("item", "words"), "item").select(
         "item", "w", F.explode(F.transform("ats", lambda a: F.get("words", a))).alias("term"), F.size(F.array_distinct(F.transform("ats", lambda a: F.get("words", a)))).alias("terms")
     ).distinct()
-    near = index.join(wanted, "term").select("doc", "item", "w", "terms", "term", F.explode("positions").alias("p"))
+    near = index.join(wanted, "term").select("doc", "item", "w", "terms", "term", "p")
     blocks = near.withColumn("block", F.explode(F.array((F.col("p") / span).cast("int"), (F.col("p") / span).cast("int") - 1)))
     around = blocks.groupBy("doc", "item", "w", "terms", "block").agg(F.sort_array(F.collect_list(F.struct("p", "term"))).alias("ps"))
     within = F.exists("ps", lambda s: F.size(F.array_distinct(F.transform(F.filter("ps", lambda x: (x["p"] >= s["p"]) & (x["p"] < s["p"] + span)), lambda x: x["term"]))) == F.col("terms"))
