@@ -99,7 +99,7 @@ class Trees:
         return 1 / (1 + np.exp(-self.raw(x)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, l2: float = 1.0, least: float = 2.0) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, l2: float = 0.5, least: float = 0.2) -> Trees:
     """Boosted trees of the logistic loss on binned statistics."""
     if not len(y):
         return Trees(np.zeros((0, 0), int), np.zeros((0, 0)), np.zeros((0, 0)), 0.0)
