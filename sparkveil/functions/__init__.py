@@ -1,0 +1 @@
+"""Column expressions that several operators share."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .geo import haversine_m
+from ..functions.geo import haversine_m
 
 STALE_DAYS = 45
 #: Radius of each precision in kilometres, tightest first.

@@ -90,7 +90,7 @@ def usernames(names: DataFrame, sites: dict[str, str]) -> DataFrame:
 
 def coverage_rows(spark, radius_m: float = 463_000.0, bands: int = 29) -> DataFrame:
     """Latitude bands and the fewest columns with which every tile's corners lie within reach of its centre."""
-    from .geo import haversine_m
+    from ..functions.geo import haversine_m
 
     height = 180.0 / bands
     rows = spark.range(bands).select(F.col("id").cast("int").alias("band"), (F.col("id") * height - 90).alias("south"))

@@ -178,7 +178,7 @@ def radius_pairs(centres: DataFrame, points: DataFrame, metres: float) -> DataFr
     lons = F.sequence(F.floor(F.col("clon") - wide).cast("int"), F.floor(F.col("clon") + wide).cast("int"))
     cells = centres.withColumn("y", F.explode(lats)).withColumn("x", F.explode(F.array_distinct(F.transform(lons, lambda v: F.pmod(v + 180, F.lit(360))))))
     homes = points.withColumn("y", F.floor("lat").cast("int")).withColumn("x", F.pmod(F.floor("lon").cast("int") + 180, F.lit(360)))
-    from .geo import haversine_m
+    from ..functions.geo import haversine_m
 
     near = cells.join(homes, ["y", "x"]).withColumn("d", haversine_m("clat", "clon", "lat", "lon"))
     return near.where(F.col("d") <= metres).drop("y", "x")

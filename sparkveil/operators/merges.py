@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .geo import WGS84_A, WGS84_F
+from ..functions.geo import WGS84_A, WGS84_F
 
 #: Precision ranks with their radius in metres, and whether a map pin is allowed.
 PRECISION = (("exact", 0, 0.0, True), ("rooftop", 1, 15.0, True), ("street", 2, 150.0, True), ("city", 3, 15_000.0, False), ("region", 4, 150_000.0, False), ("country", 5, 600_000.0, False))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import geo, matching as m
+from ..functions import geo
+from ..operators import matching as m
 from ..sources import bindings as b
 from .registry import query, sql
 

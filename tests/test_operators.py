@@ -4,7 +4,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from sparkveil.operators import feeds, geo, matching, search, states, text
+from sparkveil.functions import geo
+from sparkveil.operators import feeds, matching, search, states, text
 
 
 def test_downsample_golden(spark):
