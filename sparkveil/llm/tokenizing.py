@@ -55,10 +55,11 @@ class Words(dict):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocabulary, added = file["model"]["vocab"], {t["content"]: t["id"] for t in file["added_tokens"]}
         alphabet = _byte_alphabet()
         ranks = {bytes(map(alphabet.__getitem__, token)): rank for token, rank in vocabulary.items() if token != SPECIAL}
-        self.special = {SPECIAL: vocabulary[SPECIAL]} if SPECIAL in vocabulary else {}
+        self.special = {SPECIAL: added[SPECIAL]} if SPECIAL in added else {}
         self.bpe = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self.latin = _latin_pattern()
         self.foreign = re.compile(f"[^\\x00-{chr(LATIN_END - 1)}]")
