@@ -5,7 +5,8 @@ are ordered from rare to frequent by a sketch of counts over the whole corpus. T
 the threshold share at least k tokens among the first n - ceil(t n) + k of either, for any k; each
 document picks the k with the least estimated cost, where a longer prefix costs postings and a
 short one costs verifications of its frequent tokens. A pair is verified if it shares as many prefix
-tokens as the weaker of its two prefixes promises.
+tokens as the weaker of its two prefixes promises, and if its sets' counts by hash range (256 of them),
+which bound the overlap from above, leave the threshold possible.
 
 Only links between different components are of use to the component ids, so the join goes in two
 steps. First every posting list is linked as a star around its smallest member, which joins large
@@ -33,7 +34,8 @@ from .words import encode, word_hashes
 WORDS = 5
 PERCENT = 80
 SKETCH_BITS = 20
-MOST_MATCHES = 4
+MOST_MATCHES = 16
+CHANCE = 0.5  # partners that any token may bring unseen by the sketch
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -112,7 +114,7 @@ def choose_prefix(s: np.ndarray, ranks: np.ndarray, percent: int = PERCENT, most
     rank = ranks[(s >> np.uint64(64 - bits)).astype(np.int64)]
     order = np.lexsort((s, rank))
     need = least_overlap(len(s), percent)
-    partners = np.cumsum(np.exp2(rank[order].astype(np.float64)) - 1)
+    partners = np.cumsum(np.exp2(rank[order].astype(np.float64)) - 1 + CHANCE)
     costs = []
     for k in range(1, min(most, need) + 1):
         p = len(s) - need + k
@@ -121,8 +123,28 @@ def choose_prefix(s: np.ndarray, ranks: np.ndarray, percent: int = PERCENT, most
     return k, s[order[: len(s) - need + k]]
 
 
+def spread(s: np.ndarray) -> bytes:
+    """Shingles by the top byte of their hash, 255 meaning that many or more."""
+    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
+def possible(pairs: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose overlap can reach the threshold: no set shares more in a hash range than it has there."""
+
+    @F.pandas_udf("boolean")
+    def enough(na: pd.Series, nb: pd.Series, sa: pd.Series, sb: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, 256) for v in (sa, sb))
+        both = np.minimum(x, y)
+        bound = both.sum(axis=1, dtype=np.int64)
+        need = (na + nb).to_numpy() * percent
+        return pd.Series((bound * (100 + percent) >= need) | (both.max(axis=1, initial=0) == 255))
+
+    sides = [members.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("spread").alias(f"s{s}")) for s in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b").where(enough("na", "nb", "sa", "sb")).select("a", "b")
+
+
 def prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """(doc_id, class, n, k, prefix) of every document; class is null for the empty set."""
+    """(doc_id, class, n, k, prefix, spread) of every document; class is null for the empty set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -131,14 +153,14 @@ def prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
                 s = shingles(t)
                 if len(s):
                     k, prefix = choose_prefix(s, ranks)
-                    out.append((_signature(s), len(s), k, prefix.view(np.int64)))
+                    out.append((_signature(s), len(s), k, prefix.view(np.int64), spread(s)))
                 else:
-                    out.append((None, 0, 0, np.zeros(0, np.int64)))
-            got = pd.DataFrame(out, columns=["class", "n", "k", "prefix"])
+                    out.append((None, 0, 0, np.zeros(0, np.int64), None))
+            got = pd.DataFrame(out, columns=["class", "n", "k", "prefix", "spread"])
             yield pd.concat([b["doc_id"].astype("Int64").reset_index(drop=True), got], axis=1)
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return ids.mapInPandas(run, "doc_id long, class binary, n long, k int, prefix array<long>")
+    return ids.mapInPandas(run, "doc_id long, class binary, n long, k int, prefix array<long>, spread binary")
 
 
 def _fits(a: str, b: str, percent: int = PERCENT) -> str:
@@ -147,6 +169,7 @@ def _fits(a: str, b: str, percent: int = PERCENT) -> str:
 
 def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of ``pairs`` (a, b: ids of ``members``) whose whole sets reach the threshold."""
+    pairs = materialize(possible(pairs, members, percent), "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = materialize(members.select("id", "class", "rep").join(ids, "id"), "wanted")
     bits = 22
@@ -188,14 +211,14 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select("doc_id", "text")
     ranks = frequency_ranks(count_sketch(docs))
     signed = materialize(prefixes(docs, ranks), "prefixes")
-    classes = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("k").alias("k"), F.first("prefix").alias("prefix"))
+    classes = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("k").alias("k"), F.first("prefix").alias("prefix"), F.first("spread").alias("spread"))
     members = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    postings = members.select(F.explode("prefix").alias("token"), "id", (F.col("n") * 8 + F.col("k")).alias("nk"))
+    postings = members.select(F.explode("prefix").alias("token"), "id", (F.col("n") * 32 + F.col("k")).alias("nk"))
     listed = postings.selectExpr("*", "count(*) over (partition by token) as many", "min(id) over (partition by token) as pivot").where("many > 1")
-    lists = materialize(listed.selectExpr("token", "id", "nk div 8 as n", "cast(nk % 8 as int) as k", "pivot"), "lists")
+    lists = materialize(listed.selectExpr("token", "id", "nk div 32 as n", "cast(nk % 32 as int) as k", "pivot"), "lists")
 
-    ids = members.select(F.col("id").alias("pivot"), F.col("n").alias("pn"))
-    stars = lists.where("id <> pivot").groupBy("id", "n", "pivot").count().join(ids, "pivot").where(_fits("n", "pn"))
+    ids = members.select(F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("k").alias("pk"))
+    stars = lists.where("id <> pivot").groupBy("id", "n", "k", "pivot").count().join(ids, "pivot").where(_fits("n", "pn")).where("count >= least(k, pk)")
     first = verified(stars.select(F.col("pivot").alias("a"), F.col("id").alias("b")), members, docs, percent)
     joined = components(first, "first")
 
