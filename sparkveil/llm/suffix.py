@@ -190,7 +190,7 @@ def _runs(flags: np.ndarray) -> zip:
     return zip(edges[::2].tolist(), (edges[1::2] - 1).tolist(), strict=True)
 
 
-def _sorted_runs(batches: Iterator[pd.DataFrame], length: int, at_once: int = 4_000) -> Iterator[pd.DataFrame]:
+def _sorted_runs(batches: Iterator[pd.DataFrame], length: int, at_once: int = 2_000) -> Iterator[pd.DataFrame]:
     """Repeated window runs of segments that arrive ordered by anchor."""
     held: list[pd.DataFrame] = []
     rows = 0
@@ -219,7 +219,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(row, lo, hi): runs of window starts that repeat; ``docs`` has row and text."""
     spark = docs.sparkSession
     found = materialize(find_anchors(docs, length), "anchors")
-    shared = found.groupBy("h").count().where("count > 1").select("h")
+    shared = materialize(found.groupBy("h").count().where("count > 1").select("h"), "repeated")  # stored, so that the join below may split a hot anchor
     again = materialize(found.join(shared, "h"), "shared")
     segments = materialize(again.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("row", "p", "lo", "hi")).alias("e")), "segments")
     whole = again.join(segments.where("n > 1").select("h", "s"), ["h", "s"]).select("row", "lo", "hi")
