@@ -167,6 +167,39 @@ def _fits(a: str, b: str, percent: int = PERCENT) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
+def across(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of different components (c) whose prefixes share as many tokens as they must.
+
+    For sets of n >= m the overlap must be o = ceil(t (n + m) / (1 + t)) at least, so only matches within the
+    first n - o + k and m - o + k tokens count. The smaller set's posting lies in one size class; the larger
+    one's goes to each class that its place in the prefix leaves possible. Within a (token, class) list one
+    component, the most frequent, is never paired with itself: every pair has a side outside it.
+    """
+    mixed = postings.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
+    postings = materialize(postings.join(mixed, "token"), "mixed")
+    step = 1.05
+    over = lambda n, m: f"cast(ceil({percent} * ({n} + {m}) / {100 + percent}D - 1e-9) as bigint)"
+    size_class = lambda x: f"cast(floor(ln({x}) / ln({step}D) + 1e-9) as int)"
+    small = postings.where(f"pos <= n - {over('n', 'n')} + k").withColumn("g", F.expr(size_class("n")))
+    least = F.expr(f"ceil({percent} * n / 100D - 1e-9)")
+    large = postings.withColumn("g", F.explode(F.sequence(F.expr(size_class(f"ceil({percent} * n / 100D - 1e-9)")), F.expr(size_class("n")))))
+    large = large.withColumn("m_lo", F.greatest(least, F.ceil(F.pow(F.lit(step), F.col("g")) - 1e-3))).where(f"pos <= n - {over('n', 'least(n, m_lo)')} + k").drop("m_lo")
+    both = materialize(
+        small.withColumn("large", F.lit(False)).unionByName(large.withColumn("large", F.lit(True))).select("token", "g", "large", "pos", "id", "n", "k", "c"), "sides"
+    )
+    held = both.groupBy("token", "g", "c").agg(F.count("*").alias("x"), F.bool_or("large").alias("l"), F.bool_or(~F.col("large")).alias("s"))
+    lists = held.groupBy("token", "g").agg(F.max_by("c", F.struct("x", "c")).alias("major"), F.count("*").alias("cs"), F.bool_or("l").alias("l"), F.bool_or("s").alias("s"))
+    open_ = materialize(lists.where("cs > 1 and l and s").select("token", "g", "major"), "open")
+    sides = materialize(both.join(open_, ["token", "g"]), "open-sides")
+    a, b = (sides.where(w).select("token", "g", *[F.col(c).alias(f"{c}{i}") for c in ("pos", "id", "n", "k", "c")], (F.col("c") != F.col("major")).alias(f"minor{i}")) for w, i in (("large", 1), ("not large", 2)))
+    real = f"""c1 <> c2 and (n1 > n2 or n1 = n2 and id1 <> id2) and {_fits("n1", "n2")}
+        and pos1 <= n1 - {over("n1", "n2")} + least(k1, k2) and pos2 <= n2 - {over("n1", "n2")} + least(k1, k2)"""
+    pairs = a.where("minor1").join(b, ["token", "g"]).where(real).union(a.where("not minor1").join(b.where("minor2"), ["token", "g"]).where(real))
+    same = pairs.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), (F.col("n1") == F.col("n2")).cast("int").alias("twice"), F.least("k1", "k2").alias("k"))
+    counted = same.groupBy("a", "b").agg((F.count("*") / (1 + F.max("twice"))).alias("m"), F.first("k").alias("k"))
+    return counted.where("m >= k").select("a", "b")
+
+
 def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of ``pairs`` (a, b: ids of ``members``) whose whole sets reach the threshold."""
     pairs = materialize(possible(pairs, members, percent), "pairs")
@@ -213,22 +246,18 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed = materialize(prefixes(docs, ranks), "prefixes")
     classes = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("k").alias("k"), F.first("prefix").alias("prefix"), F.first("spread").alias("spread"))
     members = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    postings = members.select(F.explode("prefix").alias("token"), "id", (F.col("n") * 32 + F.col("k")).alias("nk"))
-    listed = postings.selectExpr("*", "count(*) over (partition by token) as many", "min(id) over (partition by token) as pivot").where("many > 1")
-    lists = materialize(listed.selectExpr("token", "id", "nk div 32 as n", "cast(nk % 32 as int) as k", "pivot"), "lists")
+    posted = members.select(F.posexplode("prefix").alias("pos", "token"), "id", (F.col("n") * 32 + F.col("k")).alias("nk"))
+    listed = posted.selectExpr("*", "count(*) over (partition by token) as many", "min(struct(pos, id)) over (partition by token).id as pivot").where("many > 1")
+    lists = materialize(listed.selectExpr("token", "pos + 1 as pos", "id", "nk div 32 as n", "cast(nk % 32 as int) as k", "pivot"), "lists")
 
     ids = members.select(F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("k").alias("pk"))
     stars = lists.where("id <> pivot").groupBy("id", "n", "k", "pivot").count().join(ids, "pivot").where(_fits("n", "pn")).where("count >= least(k, pk)")
     first = verified(stars.select(F.col("pivot").alias("a"), F.col("id").alias("b")), members, docs, percent)
     joined = components(first, "first")
 
-    at = lists.join(joined.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("c", F.coalesce("root", "id")).select("token", "id", "n", "k", "c")
-    mixed = at.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-    open_lists = materialize(at.join(mixed, "token"), "open")
-    left, right = (open_lists.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("id", "n", "k", "c")]) for i in (1, 2))
-    pairs = left.join(right, "token").where(f"id1 < id2 and c1 <> c2 and {_fits('n1', 'n2')}")
-    matched = pairs.groupBy("id1", "id2").agg(F.count("*").alias("m"), F.first(F.least("k1", "k2")).alias("least")).where("m >= least")
-    rest = verified(matched.select(F.col("id1").alias("a"), F.col("id2").alias("b")), members, docs, percent)
+    at = lists.join(joined.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("c", F.coalesce("root", "id"))
+    matched = across(at.select("token", "pos", "id", "n", "k", "c"), percent)
+    rest = verified(matched, members, docs, percent)
     whole = components(first.union(rest), "whole")
 
     rooted = members.select("class", "id", "rep").join(whole.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
