@@ -107,18 +107,19 @@ def least_overlap(n: int, percent: int = PERCENT) -> int:
 def choose_prefix(s: np.ndarray, ranks: np.ndarray, percent: int = PERCENT, most: int = MOST_MATCHES, verify_cost: float = 50.0) -> tuple[int, np.ndarray]:
     """(k, prefix tokens) of a set: the number of matches k with the least estimated cost.
 
-    A prefix for k matches has n - ceil(t n) + k tokens. Each costs one posting and brings about
-    as many partners as the token is frequent; k matches asked for leave a k-th of these to verify.
+    A prefix for k matches has n - ceil(t n) + k tokens, of which a partner of the same size sees the first
+    n - ceil(2 t n / (1 + t)) + k. Each token costs one posting, and those seen bring about as many partners as
+    they are frequent; k matches asked for leave a k-th of these to verify.
     """
     bits = len(ranks).bit_length() - 1
     rank = ranks[(s >> np.uint64(64 - bits)).astype(np.int64)]
     order = np.lexsort((s, rank))
     need = least_overlap(len(s), percent)
     partners = np.cumsum(np.exp2(rank[order].astype(np.float64)) - 1 + CHANCE)
+    same = -(-2 * len(s) * percent // (100 + percent))
     costs = []
     for k in range(1, min(most, need) + 1):
-        p = len(s) - need + k
-        costs.append(p + verify_cost * partners[p - 1] / k**2)
+        costs.append(len(s) - need + k + verify_cost * partners[len(s) - same + k - 1] / k**2)
     k = int(np.argmin(costs)) + 1
     return k, s[order[: len(s) - need + k]]
 
