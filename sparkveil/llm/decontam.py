@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 from .words import encode, word_hashes
 
 WINDOW = 10
@@ -166,6 +166,7 @@ def _spans(text: str | None, found: list, window: int) -> tuple[int, np.ndarray,
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with n_words, n_hit, item_ids (sorted) and hit_spans (word ranges [from, to))."""
+    small_batches(docs.sparkSession)
     keys = docs.withColumn("_doc", _row_key())
     items = item_words(benchmark)
     frequencies = materialize(corpus_frequencies(docs, items.select(F.explode("words").alias("term")).distinct()), "frequencies")

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mix64, parts
+from .common import components, materialize, mix64, parts, small_batches
 from .words import encode, word_hashes
 
 WORDS = 5
@@ -242,6 +242,7 @@ def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, percent: int
 
 def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; see the module for the method."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     ranks = frequency_ranks(count_sketch(docs))
     signed = materialize(prefixes(docs, ranks), "prefixes")

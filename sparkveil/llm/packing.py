@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokenizing
-from .common import materialize
+from .common import materialize, small_batches
 
 CAPACITY = 2048
 END_ID = 0
@@ -197,6 +197,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of ``docs`` with ``sequence_id`` and ``offset``; with ``with_ids`` also their token ids."""
+    small_batches(docs.sparkSession)
     cut = materialize(pieces(docs, tokenizer, capacity, with_ids), "pieces")
     counts = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     lookup = _lookup(complete(counts, capacity))

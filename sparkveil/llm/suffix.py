@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, parts, prefix_hash, slice_hash, symbol_table
+from .common import materialize, mix64, parts, prefix_hash, slice_hash, small_batches, symbol_table
 
 LENGTH = 400
 GRAM = 32
@@ -271,6 +271,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with kept_text (bytes), n_bytes, n_removed and removed_spans (byte ranges [lo, hi))."""
+    small_batches(docs.sparkSession)
     keyed = docs.withColumn("row", _row_key())
     ranges = repeated_ranges(keyed.select("row", "text"), length)
     spans = ranges.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("_runs"))
