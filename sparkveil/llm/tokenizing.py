@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 LATIN_END = 0x250
 #: The special token of the vocabulary and the pre-token pattern of byte-level BPE.
 SPECIAL = "<|endoftext|>"
