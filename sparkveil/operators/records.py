@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +12,77 @@ from .text import found
 
 #: Root codes of news events, countries with aliases and calling codes, person-name stop words, file extensions of interest.
 NEWS_ROOTS = {"01": "statement", "02": "appeal", "04": "consult", "14": "protest", "18": "assault", "19": "fight"}
-COUNTRIES = {"germany": "DE", "deutschland": "DE", "france": "FR", "spain": "ES", "united states": "US", "usa": "US", "united kingdom": "GB", "uk": "GB"}
-CALLING_CODES = {"1": "US", "44": "GB", "49": "DE", "33": "FR", "34": "ES", "351": "PT"}
-INTERESTING = ("pdf", "doc", "docx", "xls", "xlsx", "zip", "sql", "bak", "csv")
+COUNTRIES = {
+    "afghanistan": "AF", "albania": "AL", "algeria": "DZ", "andorra": "AD", "angola": "AO", "argentina": "AR", "armenia": "AM", "australia": "AU", "austria": "AT",
+    "azerbaijan": "AZ", "bahamas": "BS", "bahrain": "BH", "bangladesh": "BD", "barbados": "BB", "belarus": "BY", "belgium": "BE", "belize": "BZ", "benin": "BJ",
+    "bhutan": "BT", "bolivia": "BO", "bosnia and herzegovina": "BA", "botswana": "BW", "brazil": "BR", "brunei": "BN", "bulgaria": "BG", "burkina faso": "BF", "burundi": "BI",
+    "cambodia": "KH", "cameroon": "CM", "canada": "CA", "cape verde": "CV", "central african republic": "CF", "chad": "TD", "chile": "CL", "china": "CN", "colombia": "CO",
+    "comoros": "KM", "congo": "CG", "democratic republic of the congo": "CD", "costa rica": "CR", "ivory coast": "CI", "croatia": "HR", "cuba": "CU", "cyprus": "CY",
+    "czech republic": "CZ", "denmark": "DK", "djibouti": "DJ", "dominica": "DM", "dominican republic": "DO", "ecuador": "EC", "egypt": "EG", "el salvador": "SV",
+    "equatorial guinea": "GQ", "eritrea": "ER", "estonia": "EE", "eswatini": "SZ", "ethiopia": "ET", "fiji": "FJ", "finland": "FI", "france": "FR", "gabon": "GA",
+    "gambia": "GM", "georgia": "GE", "germany": "DE", "ghana": "GH", "greece": "GR", "grenada": "GD", "guatemala": "GT", "guinea": "GN", "guinea-bissau": "GW", "guyana": "GY",
+    "haiti": "HT", "honduras": "HN", "hong kong": "HK", "hungary": "HU", "iceland": "IS", "india": "IN", "indonesia": "ID", "iran": "IR", "iraq": "IQ", "ireland": "IE",
+    "israel": "IL", "italy": "IT", "jamaica": "JM", "japan": "JP", "jordan": "JO", "kazakhstan": "KZ", "kenya": "KE", "kiribati": "KI", "north korea": "KP",
+    "south korea": "KR", "kosovo": "XK", "kuwait": "KW", "kyrgyzstan": "KG", "laos": "LA", "latvia": "LV", "lebanon": "LB", "lesotho": "LS", "liberia": "LR", "libya": "LY",
+    "liechtenstein": "LI", "lithuania": "LT", "luxembourg": "LU", "macau": "MO", "madagascar": "MG", "malawi": "MW", "malaysia": "MY", "maldives": "MV", "mali": "ML",
+    "malta": "MT", "marshall islands": "MH", "mauritania": "MR", "mauritius": "MU", "mexico": "MX", "micronesia": "FM", "moldova": "MD", "monaco": "MC", "mongolia": "MN",
+    "montenegro": "ME", "morocco": "MA", "mozambique": "MZ", "myanmar": "MM", "namibia": "NA", "nauru": "NR", "nepal": "NP", "netherlands": "NL", "new zealand": "NZ",
+    "nicaragua": "NI", "niger": "NE", "nigeria": "NG", "north macedonia": "MK", "norway": "NO", "oman": "OM", "pakistan": "PK", "palau": "PW", "palestine": "PS",
+    "panama": "PA", "papua new guinea": "PG", "paraguay": "PY", "peru": "PE", "philippines": "PH", "poland": "PL", "portugal": "PT", "puerto rico": "PR", "qatar": "QA",
+    "romania": "RO", "russia": "RU", "rwanda": "RW", "saint kitts and nevis": "KN", "saint lucia": "LC", "saint vincent and the grenadines": "VC", "samoa": "WS",
+    "san marino": "SM", "sao tome and principe": "ST", "saudi arabia": "SA", "senegal": "SN", "serbia": "RS", "seychelles": "SC", "sierra leone": "SL", "singapore": "SG",
+    "slovakia": "SK", "slovenia": "SI", "solomon islands": "SB", "somalia": "SO", "south africa": "ZA", "south sudan": "SS", "spain": "ES", "sri lanka": "LK", "sudan": "SD",
+    "suriname": "SR", "sweden": "SE", "switzerland": "CH", "syria": "SY", "taiwan": "TW", "tajikistan": "TJ", "tanzania": "TZ", "thailand": "TH", "timor-leste": "TL",
+    "togo": "TG", "tonga": "TO", "trinidad and tobago": "TT", "tunisia": "TN", "turkey": "TR", "turkmenistan": "TM", "tuvalu": "TV", "uganda": "UG", "ukraine": "UA",
+    "united arab emirates": "AE", "united kingdom": "GB", "united states": "US", "uruguay": "UY", "uzbekistan": "UZ", "vanuatu": "VU", "vatican city": "VA", "venezuela": "VE",
+    "vietnam": "VN", "yemen": "YE", "zambia": "ZM", "zimbabwe": "ZW", "usa": "US", "u.s.a.": "US", "u.s.": "US", "united states of america": "US", "america": "US", "uk": "GB",
+    "u.k.": "GB", "great britain": "GB", "britain": "GB", "england": "GB", "scotland": "GB", "wales": "GB", "northern ireland": "GB", "uae": "AE", "russian federation": "RU",
+    "prc": "CN", "people's republic of china": "CN", "republic of korea": "KR", "korea": "KR", "dprk": "KP", "czechia": "CZ", "holland": "NL", "the netherlands": "NL",
+    "türkiye": "TR", "turkiye": "TR", "cote d'ivoire": "CI", "côte d'ivoire": "CI", "burma": "MM", "swaziland": "SZ", "macedonia": "MK", "viet nam": "VN",
+    "iran, islamic republic of": "IR", "syrian arab republic": "SY", "lao": "LA", "drc": "CD", "dr congo": "CD", "republic of the congo": "CG",
+    "taiwan, province of china": "TW", "hong kong sar": "HK", "vatican": "VA", "holy see": "VA", "east timor": "TL", "cabo verde": "CV", "saint kitts": "KN",
+    "st. lucia": "LC", "moldova, republic of": "MD", "bosnia": "BA", "deutschland": "DE",
+}
+#: Calling codes of countries; parts of a shared code that have a country of their own are longer.
+CALLING_CODES = {
+    "1": "US", "1242": "BS", "1246": "BB", "1264": "AI", "1268": "AG", "1284": "VG", "1340": "VI", "1345": "KY", "1441": "BM", "1473": "GD", "1649": "TC", "1658": "JM",
+    "1664": "MS", "1670": "MP", "1671": "GU", "1684": "AS", "1721": "SX", "1758": "LC", "1767": "DM", "1784": "VC", "1787": "PR", "1809": "DO", "1829": "DO", "1849": "DO",
+    "1868": "TT", "1869": "KN", "1876": "JM", "1939": "PR", "7": "RU", "76": "KZ", "77": "KZ", "20": "EG", "211": "SS", "212": "MA", "213": "DZ", "216": "TN", "218": "LY",
+    "220": "GM", "221": "SN", "222": "MR", "223": "ML", "224": "GN", "225": "CI", "226": "BF", "227": "NE", "228": "TG", "229": "BJ", "230": "MU", "231": "LR", "232": "SL",
+    "233": "GH", "234": "NG", "235": "TD", "236": "CF", "237": "CM", "238": "CV", "239": "ST", "240": "GQ", "241": "GA", "242": "CG", "243": "CD", "244": "AO", "245": "GW",
+    "246": "IO", "247": "AC", "248": "SC", "249": "SD", "250": "RW", "251": "ET", "252": "SO", "253": "DJ", "254": "KE", "255": "TZ", "256": "UG", "257": "BI", "258": "MZ",
+    "260": "ZM", "261": "MG", "262": "RE", "263": "ZW", "264": "NA", "265": "MW", "266": "LS", "267": "BW", "268": "SZ", "269": "KM", "27": "ZA", "290": "SH", "291": "ER",
+    "297": "AW", "298": "FO", "299": "GL", "30": "GR", "31": "NL", "32": "BE", "33": "FR", "34": "ES", "350": "GI", "351": "PT", "352": "LU", "353": "IE", "354": "IS",
+    "355": "AL", "356": "MT", "357": "CY", "358": "FI", "359": "BG", "36": "HU", "370": "LT", "371": "LV", "372": "EE", "373": "MD", "374": "AM", "375": "BY", "376": "AD",
+    "377": "MC", "378": "SM", "379": "VA", "380": "UA", "381": "RS", "382": "ME", "383": "XK", "385": "HR", "386": "SI", "387": "BA", "389": "MK", "39": "IT", "40": "RO",
+    "41": "CH", "420": "CZ", "421": "SK", "423": "LI", "43": "AT", "44": "GB", "441481": "GG", "441534": "JE", "441624": "IM", "45": "DK", "46": "SE", "47": "NO",
+    "4779": "SJ", "48": "PL", "49": "DE", "500": "FK", "501": "BZ", "502": "GT", "503": "SV", "504": "HN", "505": "NI", "506": "CR", "507": "PA", "508": "PM", "509": "HT",
+    "51": "PE", "52": "MX", "53": "CU", "54": "AR", "55": "BR", "56": "CL", "57": "CO", "58": "VE", "590": "GP", "591": "BO", "592": "GY", "593": "EC", "594": "GF",
+    "595": "PY", "596": "MQ", "597": "SR", "598": "UY", "599": "BQ", "5999": "CW", "60": "MY", "61": "AU", "62": "ID", "63": "PH", "64": "NZ", "65": "SG", "66": "TH",
+    "670": "TL", "672": "NF", "673": "BN", "674": "NR", "675": "PG", "676": "TO", "677": "SB", "678": "VU", "679": "FJ", "680": "PW", "681": "WF", "682": "CK", "683": "NU",
+    "685": "WS", "686": "KI", "687": "NC", "688": "TV", "689": "PF", "690": "TK", "691": "FM", "692": "MH", "81": "JP", "82": "KR", "84": "VN", "850": "KP", "852": "HK",
+    "853": "MO", "855": "KH", "856": "LA", "86": "CN", "880": "BD", "886": "TW", "90": "TR", "91": "IN", "92": "PK", "93": "AF", "94": "LK", "95": "MM", "960": "MV",
+    "961": "LB", "962": "JO", "963": "SY", "964": "IQ", "965": "KW", "966": "SA", "967": "YE", "968": "OM", "970": "PS", "971": "AE", "972": "IL", "973": "BH", "974": "QA",
+    "975": "BT", "976": "MN", "977": "NP", "98": "IR", "992": "TJ", "993": "TM", "994": "AZ", "995": "GE", "996": "KG", "998": "UZ", "1204": "CA", "1226": "CA", "1236": "CA",
+    "1249": "CA", "1250": "CA", "1257": "CA", "1263": "CA", "1289": "CA", "1306": "CA", "1343": "CA", "1354": "CA", "1365": "CA", "1367": "CA", "1368": "CA", "1382": "CA",
+    "1403": "CA", "1416": "CA", "1418": "CA", "1428": "CA", "1431": "CA", "1437": "CA", "1438": "CA", "1450": "CA", "1460": "CA", "1468": "CA", "1474": "CA", "1506": "CA",
+    "1514": "CA", "1519": "CA", "1548": "CA", "1579": "CA", "1581": "CA", "1584": "CA", "1587": "CA", "1604": "CA", "1613": "CA", "1639": "CA", "1647": "CA", "1672": "CA",
+    "1683": "CA", "1705": "CA", "1709": "CA", "1742": "CA", "1753": "CA", "1778": "CA", "1780": "CA", "1782": "CA", "1807": "CA", "1819": "CA", "1825": "CA", "1867": "CA",
+    "1873": "CA", "1879": "CA", "1902": "CA", "1905": "CA", "1942": "CA",
+}
+INTERESTING = (
+    "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "odt", "ods", "odp", "rtf", "csv", "txt", "xml", "json", "sql", "bak", "log", "zip", "gz", "tgz", "tar", "rar", "7z", "exe", "msi", "dmg", "iso", "apk", "env", "config", "ini", "yml", "yaml", "epub", "mobi", "kml", "kmz",
+)
+#: Where a page names a person: (pattern, confidence), the surer place first, and what a name looks like.
+PERSON_PLACES = (
+    (r"""(?i)<meta[^>]+(?:name|property)=["'](?:author|article:author|dc\.creator|twitter:creator)["'][^>]+content=["']([^"']+)["']""", 0.75),
+    (r"""(?i)<meta[^>]+content=["']([^"']+)["'][^>]+(?:name|property)=["'](?:author|article:author|dc\.creator)["']""", 0.75),
+    (r"""(?i)"author"\s*:\s*(?:\{[^}]*?"name"\s*:\s*)?"([^"]+)\"""", 0.75),
+    (r"""(?is)<a[^>]+rel=["']author["'][^>]*>(.*?)</a>""", 0.75),
+    (r"\b[Bb]y[:\s]+((?:[A-Z][A-Za-z'’.\-]*\s+){1,3}[A-Z][A-Za-z'’.\-]+)", 0.55),
+)
+PERSON = r"^(?:[A-Z][A-Za-z'’\-]+|[A-Z]\.?)(?:\s+(?:[A-Z][A-Za-z'’\-]+|[A-Z]\.?)){1,3}$"
+NO_PERSONS = ("admin", "administrator", "editor", "staff", "team", "guest", "author", "unknown", "webmaster")
 
 
 def cells(raw: DataFrame, text: str = "raw") -> tuple[DataFrame, DataFrame]:
@@ -55,9 +125,9 @@ def element_sets(raw: DataFrame) -> DataFrame:
 
 def countries_mentioned(df: DataFrame, key: str, text: str) -> DataFrame:
     """Countries named in texts, longest names first, once each."""
-    names = "|".join(sorted(COUNTRIES, key=len, reverse=True))
+    names = "|".join(re.escape(n) for n in sorted(COUNTRIES, key=len, reverse=True))
     codes = F.create_map(*[F.lit(x) for kv in COUNTRIES.items() for x in kv])
-    hits = df.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(rf"\b({names})\b"), F.lit(1))).alias("name"))
+    hits = df.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(rf"(?<![\p{{L}}\p{{N}}_])({names})(?![\p{{L}}\p{{N}}_])"), F.lit(1))).alias("name"))
     return hits.groupBy(key, codes[F.col("name")].alias("country")).agg(F.count("*").alias("mentions"))
 
 
@@ -65,13 +135,18 @@ def phone_country(number: Column) -> Column:
     """Country of an international number by its longest calling code."""
     digits = F.regexp_replace(number, "[^0-9]", "")
     codes = F.create_map(*[F.lit(x) for kv in CALLING_CODES.items() for x in kv])
-    return F.coalesce(*[codes[F.substring(digits, 1, n)] for n in (3, 2, 1)])
+    return F.coalesce(*[codes[F.substring(digits, 1, n)] for n in sorted({len(c) for c in CALLING_CODES}, reverse=True)])
 
 
 def persons(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Names in bylines, once each."""
-    hits = df.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"\b[Bb]y ([A-Z][a-z]+ [A-Z][a-z]+)\b"), F.lit(1))).alias("name"))
-    return hits.select(key, "name", F.lit(0.55).alias("confidence")).distinct()
+    """Names of persons in author tags and bylines, once each; the surest place gives the confidence."""
+    places = F.array(*[F.struct(F.lit(rank).alias("rank"), F.lit(sure).alias("confidence"), F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1)).alias("names")) for rank, (p, sure) in enumerate(PERSON_PLACES)])
+    rows = df.select(key, F.explode(places).alias("p")).select(key, "p.rank", "p.confidence", F.posexplode("p.names").alias("at", "name"))
+    plain = F.regexp_replace(F.regexp_replace("name", "<[^>]*>", " "), r"\s+", " ")
+    named = rows.withColumn("name", F.regexp_replace(plain, r"^[ .,\-@]+|[ .,\-@]+$", ""))
+    kept = named.where(F.col("name").rlike(PERSON) & ~F.lower("name").isin(*NO_PERSONS) & ~F.lower("name").contains("http"))
+    best = kept.groupBy(key, F.lower("name").alias("_n")).agg(F.min_by(F.struct("name", "confidence"), F.struct("rank", "at")).alias("p"))
+    return best.select(key, "p.name", "p.confidence")
 
 
 def printable_runs(df: DataFrame, key: str, content: str, least: int = 4) -> DataFrame:
@@ -82,7 +157,7 @@ def printable_runs(df: DataFrame, key: str, content: str, least: int = 4) -> Dat
 
 def linked_files(links: DataFrame, most: int = 100) -> DataFrame:
     """The first ``most`` links of a page to documents and archives."""
-    ext = F.lower(F.regexp_extract("target", r"\.([A-Za-z0-9]{1,5})(?:[?#].*)?$", 1))
+    ext = F.lower(F.regexp_extract("target", r"\.([A-Za-z0-9]{1,6})(?:[?#].*)?$", 1))
     rows = links.where(ext.isin(*INTERESTING)).groupBy("page_id", "target").agg(F.min("place").alias("place"))
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("place"))).where(F.col("n") <= most).select("page_id", "target")
 
