@@ -86,6 +86,13 @@ def domains(spark, sf):
     return b.load(spark, sf, "part").selectExpr("concat('brand', lower(replace(substr(p_brand, 7), '#', '')), '.com') as domain").distinct()
 
 
+#: The suffixes, glyphs, bits and fuzzers that the SQL of the queries names; the queries ``_whole`` use all.
+_SQL_TABLES = (
+    ("com", "net", "org", "info", "io", "co"), {"o": ("0",), "l": ("1",), "i": ("1",), "e": ("3",), "a": ("4",)}, 3,
+    ("tld-swap", "addition", "omission", "transposition", "repetition", "homoglyph", "bitsquatting", "hyphenation", "vowel-swap"),
+)
+
+
 @query("g1_typosquats", f"""with {_DOMAINS}, n as (select domain, split_part(domain, '.', 1) as n from d), spots as (select domain, n, unnest(range(1, len(n) + 1)) as i from n), c as (
     select domain, 0 as r, 'tld-swap' as fuzzer, n || '.' || unnest(['com', 'net', 'org', 'info', 'io', 'co']) as candidate from n
     union all select domain, 1, 'addition', n || chr(97 + unnest(range(26))::int) || '.com' from n
@@ -98,11 +105,21 @@ def domains(spark, sf):
     union all select domain, 8, 'vowel-swap', substr(n, 1, i - 1) || v || substr(n, i + 1) || '.com' from spots, (select unnest(['a', 'e', 'i', 'o', 'u']) as v) where substr(n, i, 1) in ('a', 'e', 'i', 'o', 'u'))
     select domain, candidate, arg_min(fuzzer, r) as fuzzer from c where candidate <> domain and regexp_matches(candidate, '^[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?(?:\\.[a-z]{{2,}})+$') group by all""")
 def squats(spark, sf):
+    return g.typosquats(domains(spark, sf), *_SQL_TABLES)
+
+
+@query("g1_typosquats_whole")
+def all_squats(spark, sf):
     return g.typosquats(domains(spark, sf))
 
 
 @query("g2_tld_candidates", f"with {_DOMAINS} select domain, split_part(domain, '.', 1) || '.' || t as candidate from d, (select unnest(['net', 'org', 'info', 'io', 'co']) as t)")
 def tlds(spark, sf):
+    return g.other_tlds(domains(spark, sf), _SQL_TABLES[0])
+
+
+@query("g2_tld_candidates_whole", f"with {_DOMAINS} select domain, split_part(domain, '.', 1) || '.' || t as candidate from d, (select unnest(string_split('com net org info biz co io app dev xyz online site shop store us uk eu de cn ru top live cc me', ' ')) as t) where split_part(domain, '.', 1) || '.' || t <> domain")
+def all_tlds(spark, sf):
     return g.other_tlds(domains(spark, sf))
 
 
@@ -131,7 +148,13 @@ def backups(spark, sf):
     t as (select a.domain, split_part(a.domain, '.', 1) || '.' || t as candidate from d a, (select unnest(['com', 'net', 'org', 'info', 'io', 'co']) as t)) select t.domain, candidate from t join d on candidate = d.domain where candidate <> t.domain""")
 def lookalikes(spark, sf):
     seen = b.page_hosts(spark, sf).select(F.substring_index("host", ".", -2).alias("domain")).distinct()
-    return g.other_tlds(seen).join(seen.withColumnRenamed("domain", "candidate"), "candidate", "left_semi").select("domain", "candidate")
+    return g.other_tlds(seen, _SQL_TABLES[0]).join(seen.withColumnRenamed("domain", "candidate"), "candidate", "left_semi").select("domain", "candidate")
+
+
+@query("e18_lookalike_join_whole")
+def all_lookalikes(spark, sf):
+    seen = b.page_hosts(spark, sf).select(F.substring_index("host", ".", -2).alias("domain")).distinct()
+    return g.typosquats(seen).join(seen.withColumnRenamed("domain", "candidate"), "candidate", "left_semi").select("domain", "candidate", "fuzzer")
 
 
 @query("e20_username_sites", """select name, site, replace(t, '{}', name) as url from (select c_name as name from customer), (select unnest(['git', 'forum']) as site, unnest(['https://git.example/{}', 'https://forum.example/u/{}']) as t)""")
