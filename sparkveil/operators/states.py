@@ -144,3 +144,23 @@ def reconciled(snapshot: DataFrame, deltas: DataFrame, asked_at: int) -> DataFra
 def expired(states: DataFrame, as_of: int, max_age_s: int) -> DataFrame:
     """States seen within ``max_age_s`` before ``as_of``."""
     return states.where(F.col("t") >= as_of - max_age_s)
+
+
+def first_emissions(emissions: DataFrame) -> DataFrame:
+    """(type, value, run, seq): the earliest run that emitted a value, and its first row there."""
+    first = emissions.groupBy("type", "value").agg(F.min(F.struct("run", "seq")).alias("_f"))
+    return first.select("type", "value", F.col("_f.run").alias("first_run"), F.col("_f.seq").alias("first_seq"))
+
+
+def resolved_parents(emissions: DataFrame) -> DataFrame:
+    """Each emission with the first emission of its value in any strictly earlier run; missing if there is none."""
+    first = first_emissions(emissions)
+    e, f = emissions.alias("e"), first.alias("f")
+    joined = e.join(f, F.col("e.type").eqNullSafe(F.col("f.type")) & F.col("e.value").eqNullSafe(F.col("f.value")))
+    parent = F.when(F.col("f.first_run") < F.col("e.run"), F.col("f.first_seq"))
+    return joined.select("e.seq", "e.type", "e.value", parent.alias("parent_seq"), parent.isNull().alias("missing"))
+
+
+def first_seen(emissions: DataFrame) -> DataFrame:
+    """Emissions whose value no strictly earlier run emitted."""
+    return resolved_parents(emissions).where("missing").select("seq", "type", "value")

@@ -92,6 +92,14 @@ def k_hop(spark, sf):
     return s.k_hop(seeds, b.relations(spark, sf), 2)
 
 
+@query("k15_k_hop_whole", sql("""with recursive ends as (select distinct src as a, dst as b from relations union select distinct dst, src from relations),
+    h as (select c_custkey as node, 0 as hops from customer where c_custkey % 100 = 0 union select b, hops + 1 from h join ends on a = node where hops < 2)
+    select node, min(hops)::int as hops from h group by node""".replace("with recursive ", "with "), "relations").replace("with ", "with recursive ", 1))
+def k_hop_query_set(spark, sf):
+    seeds = b.load(spark, sf, "customer").where("c_custkey % 100 = 0").selectExpr("c_custkey as id")
+    return s.k_hop(seeds, b.relations(spark, sf), 2)
+
+
 @query("k11_snapshot_delta", sql("""with sn as (select id, max(t) as t, arg_max(lat, (t, seq)) as v from fixes where seq % 3 > 0 and hash_free % 4 > 0 group by id), d as (select id, max(t) as t, arg_max(lat, (t, seq)) as v from fixes where seq % 3 = 0 group by id)
     select coalesce(sn.id, d.id) as id, case when sn.t is null or d.t > sn.t then d.t else sn.t end as t, case when sn.t is null or d.t > sn.t then d.v else sn.v end as v
     from sn full join d on sn.id = d.id where sn.t is not null or d.t > 1706400000""".replace("hash_free", "cast(split_part(id, ':', 2) as bigint)"), "fixes"))
@@ -119,6 +127,11 @@ def parents(spark, sf):
     return e.join(first, ["value", "type"], "left").select("seq", "type", "value", "parent_seq", F.col("parent_seq").isNull().alias("missing"))
 
 
+@query("e12_parent_resolution_whole", sql("""select e.seq, e.type, e.value, min(p.seq) as parent_seq, count(p.seq) = 0 as missing from emissions e left join emissions p on p.value = e.value and p.type = e.type and p.run < e.run group by all""", "emissions"))
+def all_parents(spark, sf):
+    return s.resolved_parents(b.emissions(spark, sf))
+
+
 @query("e13_position_track", sql("select f.id, f.seq, f.lat, f.lon, z.t as state_t from fixes f join (select id, max(t) as t from fixes group by id) z on f.id = z.id and f.t > z.t - 3600", "fixes"))
 def positions(spark, sf):
     f = b.fixes(spark, sf)
@@ -130,3 +143,8 @@ def positions(spark, sf):
 def unseen(spark, sf):
     e = b.emissions(spark, sf)
     return e.where("run >= 60").join(e.where("run < 60").select("type", "value").distinct(), ["type", "value"], "left_anti").select("seq", "type", "value")
+
+
+@query("e22_already_seen_whole", sql("select seq, type, value from emissions e where not exists (select 1 from emissions o where o.run < e.run and o.type = e.type and o.value = e.value)", "emissions"))
+def all_unseen(spark, sf):
+    return s.first_seen(b.emissions(spark, sf))
