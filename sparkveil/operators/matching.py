@@ -182,3 +182,22 @@ def radius_pairs(centres: DataFrame, points: DataFrame, metres: float) -> DataFr
 
     near = cells.join(homes, ["y", "x"]).withColumn("d", haversine_m("clat", "clon", "lat", "lon"))
     return near.where(F.col("d") <= metres).drop("y", "x")
+
+
+def address_order(addresses: DataFrame, ranges: int | None = None) -> DataFrame:
+    """All rows (target, ip, ip_num) in address order with their place in the whole table.
+
+    Bounds from a sample of fixed size deal the rows to ranges; a row's place is its place within its range and the
+    number of rows of the ranges before, so that no task holds more than a range.
+    """
+    spark = addresses.sparkSession
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct("ip_num", "target")
+    sample = sorted(((r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0) for r in addresses.select("ip_num", "target").orderBy(F.xxhash64("ip_num", "target")).limit(20 * n).collect()))
+    picked = sorted({sample[i * len(sample) // n] for i in range(1, n)}) if sample else []
+    bounds = [F.struct(F.lit(i if a else None).cast("long").alias("ip_num"), F.lit(t if c else None).cast("long").alias("target")) for a, i, c, t in picked]
+    at = F.size(F.filter(F.array(*bounds), lambda x: x <= key)) if bounds else F.lit(0)
+    dealt = addresses.select("target", "ip", "ip_num").withColumn("_range", at)
+    before = dealt.groupBy("_range").count().selectExpr("_range", "sum(count) over (order by _range) - count as before")  # a row a range
+    inside = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_range").orderBy("ip_num", "target")))
+    return inside.join(F.broadcast(before), "_range").select("target", "ip", (F.col("before") + F.col("_in")).alias("place")).orderBy("place")

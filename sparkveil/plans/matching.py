@@ -139,6 +139,11 @@ def ordered(spark, sf):
     return top.selectExpr("target", "ip", "row_number() over (order by ip_num, target) as place")
 
 
+@query("i4_address_order_whole", sql("select target, ip, row_number() over (order by ip_num, target)::bigint as place from addresses", "addresses"))
+def all_ordered(spark, sf):
+    return m.address_order(b.addresses(spark, sf))
+
+
 @query("j_geo_functions", sql("""select seq, round(degrees(asin(sin(a) * cos(d) + cos(a) * sin(d) * cos(t))), 6) as dest_lat,
     round((6378137::double / sqrt(1 - e2 * pow(sin(a), 2)) + h) * cos(a) * cos(o), 2) as ecef_x, round((6378137::double / sqrt(1 - e2 * pow(sin(a), 2)) * (1 - e2) + h) * sin(a), 2) as ecef_z,
     greatest(0, least(1023, floor((lon + 180) / 360 * 1024)))::int as tile_x, round(h / 0.3048::double, 3) as feet from
