@@ -6,9 +6,11 @@ decided on the histogram of piece lengths, which has at most ``CAPACITY`` entrie
 the corpus is: a plan is a list of fillings, each with the number of sequences that use it.
 
 The incumbent plan is best-fit decreasing. If it uses more sequences than the waste bound allows,
-bin completion looks for a better one: around the largest piece left it enumerates undominated
-fillings, pruned by the waste that a better plan can still afford, and backtracks within a bounded
-number of steps. Every plan is whole; the bound limits only the search for a better one.
+bin completion looks for a better one, first for the pieces of sequences that waste something, then
+for all: around the largest piece left it enumerates undominated fillings, pruned by the waste that a
+better plan can still afford, and backtracks within a bounded number of steps that grows with the
+number of lengths. Every plan is whole; the bound limits only the search for a better one, and a
+plan above the waste bound is logged.
 
 Pieces are then ranked within their length (salted by a hash, so that one frequent length is
 ranked by many tasks) and looked up in the plan.
@@ -19,7 +21,9 @@ empty table gives an empty result; ties in length go by doc_id and piece.
 
 from __future__ import annotations
 
+import logging
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import islice
 
@@ -35,6 +39,8 @@ CAPACITY = 2048
 END_ID = 0
 SALT_ROWS = 1_000
 SEARCH_STEPS = 20_000
+STEPS_A_LENGTH = 100
+LOG = logging.getLogger(__name__)
 
 Filling = tuple[tuple[int, int], ...]  # (length, copies), longest first
 Plan = list[tuple[int, Filling]]  # (sequences, filling)
@@ -86,40 +92,65 @@ def fillings(counts: dict[int, int], room: int, most_waste: int, budget: list[in
     Longer pieces are tried first. A filling is dominated where an unused piece would fit into
     what it leaves free, or could take the place of a shorter piece of it.
     """
-    lengths = sorted((k for k, v in counts.items() if v), reverse=True)
+    rising = sorted(k for k, v in counts.items() if v)
 
-    def search(at: int, room: int, chosen: Filling) -> Iterator[tuple[int, Filling]]:
-        for i in range(at, len(lengths)):
-            length = lengths[i]
-            if length > room:
-                continue
+    def search(below: int, room: int, chosen: Filling) -> Iterator[tuple[int, Filling]]:
+        for i in range(min(below, bisect_right(rising, room)) - 1, -1, -1):
+            length = rising[i]
             budget[0] -= 1
             if budget[0] < 0:
                 return
             for copies in range(min(counts[length], room // length), 0, -1):
-                yield from search(i + 1, room - copies * length, (*chosen, (length, copies)))
+                yield from search(i, room - copies * length, (*chosen, (length, copies)))
         if room <= most_waste and not dominated(room, dict(chosen)):
             yield room, chosen
 
     def dominated(room: int, used: dict[int, int]) -> bool:
-        free = [x for x in lengths if counts[x] > used.get(x, 0)]
-        return bool(free) and (free[-1] <= room or any(x < o <= x + room for x in used for o in free))
+        def free(above: int, most: int) -> bool:
+            for i in range(bisect_right(rising, above), bisect_right(rising, most)):
+                if counts[rising[i]] > used.get(rising[i], 0):
+                    return True
+            return False
 
-    return search(0, room, ())
+        return free(0, room) or any(free(x, x + room) for x in used)
+
+    return search(len(rising), room, ())
 
 
 def complete(counts: dict[int, int], capacity: int = CAPACITY, steps: int = SEARCH_STEPS) -> Plan:
     """The plan with the fewest sequences that the search finds; never worse than best-fit decreasing."""
     counts = {k: v for k, v in counts.items() if v}
+    least = -(-sum(k * v for k, v in counts.items()) // capacity)
+    plan = best_fit(counts, capacity)
+    first = bins = sum(n for n, _ in plan)
+    for whole in (False, True):
+        if bins > least:
+            full = [] if whole else [x for x in plan if _size(x[1]) == capacity]
+            plan = full + _improved([x for x in plan if whole or _size(x[1]) < capacity], capacity, steps)
+            bins = sum(n for n, _ in plan)
+    if bins > least:
+        LOG.warning("packing: %d sequences, %d by best-fit decreasing, at least %d needed; the search ended without a better plan", bins, first, least)
+    return plan
+
+
+def _size(filling: Filling) -> int:
+    return sum(length * copies for length, copies in filling)
+
+
+def _improved(plan: Plan, capacity: int, steps: int) -> Plan:
+    """``plan`` or one of fewer sequences for the same pieces, within ``steps`` and ``STEPS_A_LENGTH``."""
+    counts: dict[int, int] = {}
+    for n, filling in plan:
+        for length, copies in filling:
+            counts[length] = counts.get(length, 0) + n * copies
     total = sum(k * v for k, v in counts.items())
-    incumbent = best_fit(counts, capacity)
-    budget = [steps]
-    while (bins := sum(n for n, _ in incumbent)) > -(-total // capacity) and budget[0] > 0:
+    budget = [steps + STEPS_A_LENGTH * len(counts)]
+    while (bins := sum(n for n, _ in plan)) > -(-total // capacity) and budget[0] > 0:
         better = _branch(dict(counts), capacity, (bins - 1) * capacity - total, budget)
         if better is None:
             break
-        incumbent = better
-    return incumbent
+        plan = better
+    return plan
 
 
 def _branch(counts: dict[int, int], capacity: int, slack: int, budget: list[int], width: int = 16) -> Plan | None:
