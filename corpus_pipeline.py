@@ -26,11 +26,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each Jaccard component, the one with the least doc_id."""
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), -1 - F.abs(F.xxhash64("text") % (1 << 62))))
-    found = jaccard.join(keyed.select(F.col("_key").alias("doc_id"), "text"))
-    least = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(least, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    """One document of each Jaccard component, the one with the least doc_id.
+
+    Rows are told apart by doc_id and text, so that only linked rows go; texts without words link with nothing and all stay.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    keyed = keyed.withColumn("_bare", ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    found = jaccard.join(keyed.where("not _bare").select(F.col("_key").alias("doc_id"), "text"))
+    ids = keyed.where("not _bare").select("_key", F.col("doc_id").cast("long").alias("_id"))
+    order = F.struct(F.col("_id").isNull(), "_id", "_key")
+    members = found.select(F.col("doc_id").alias("_key"), "component_id").distinct().join(ids, "_key")
+    least = members.groupBy("component_id").agg(F.min_by("_key", order).alias("_key")).select("_key")
+    kept = keyed.where("not _bare").join(least, "_key", "left_semi").dropDuplicates(["_key"])
+    return kept.unionByName(keyed.where("_bare")).drop("_key", "_bare")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
