@@ -7,6 +7,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,11 @@ HELD_OUT_FOLDS = 5
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared scratch folder of this session."""
+    """The shared scratch folder of this session; one of our own only where driver and tasks are one process."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no shared folder, and executors can't see this machine's temporary files")
         conf = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf
@@ -31,7 +34,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Deletes the files of a DataFrame that ``materialize`` returned; nothing may read it any more."""
+    jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
+    path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 BATCH_ROWS = 2_000

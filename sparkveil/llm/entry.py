@@ -78,9 +78,12 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of all documents that no repeated string of 400 bytes covers."""
-    return suffix.remove(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "doc_id", "n_bytes", "n_removed", F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept_text", 256).alias("kept_sha256")
+    """Bytes of all documents that no repeated string of 400 bytes covers, and how many are in repeated passages of 250 bytes.
+
+    A passage of just over 50 words has fewer than 400 bytes in most languages, so it stays; ``passage_bytes`` tells of it.
+    """
+    return suffix.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), passage=suffix.PASSAGE).select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept_text", 256).alias("kept_sha256"), "passage_bytes"
     )
 
 
