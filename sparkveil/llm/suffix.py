@@ -29,8 +29,10 @@ columns go through, whatever their names, but for those that the result defines
 from __future__ import annotations
 
 import struct
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -232,45 +234,43 @@ def _digest(raw: bytes, *numbers: int) -> bytes:
 def find_anchors(docs: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     """Segments of every text: h (anchor), s (digest), n (1, or 2 for more in this text), row, p, lo, hi, e (end of the segment).
 
-    Runs of windows of segments that a text holds twice come besides with h null, joined where they touch.
+    Runs of windows of segments that a text holds twice come besides with n = 0, joined where they touch.
     """
     base, most = min(lengths), max(lengths)
-    columns = ["h", "s", "n", "row", "p", "lo", "hi", "e"]
 
-    def of(row: bytes, raw: np.ndarray) -> list[pd.DataFrame]:
+    def of(row: bytes, raw: np.ndarray) -> Iterator[tuple]:
         h, p, lo, hi = anchors(raw, base)
         e = np.minimum(hi + most, len(raw))
         whole = raw.tobytes()
-        at = zip(p.tolist(), lo.tolist(), hi.tolist(), e.tolist(), strict=True)
-        s = [_digest(whole[a:z], q - a, b - a) for q, a, b, z in at]
-        seen: dict[bytes, int] = {}
-        twice = set()
-        for i, x in enumerate(s):
-            if seen.setdefault(x, i) != i:
-                twice.add(x)
-        first = np.fromiter(seen.values(), np.int64, len(seen))
-        n = np.array([1 + (x in twice) for x in seen], np.int32)
-        out = [pd.DataFrame({"h": h[first].view(np.int64), "s": list(seen), "n": n, "row": [row] * len(first), "p": p[first], "lo": lo[first], "hi": hi[first], "e": e[first]}).astype({"h": "Int64"})]
-        if twice:
-            own = np.array([x in twice for x in s])
-            start = np.flatnonzero(own & np.r_[True, ~own[:-1]])
-            end = np.flatnonzero(own & np.r_[~own[1:], True])
-            runs = pd.DataFrame({"n": np.int32(2), "row": [row] * len(start), "p": p[start], "lo": lo[start], "hi": hi[end], "e": e[end]})
-            out.append(runs.assign(h=pd.array([None] * len(runs), "Int64"), s=None)[columns])
-        return out
+        s = [_digest(whole[a:z], q - a, b - a) for q, a, b, z in zip(p.tolist(), lo.tolist(), hi.tolist(), e.tolist(), strict=True)]
+        if len(seen := dict(zip(reversed(s), reversed(range(len(s))), strict=True))) == len(s):
+            yield h, s, np.ones(len(s), np.int32), [row] * len(s), p, lo, hi, e
+            return
+        many = Counter(s)
+        first = np.sort(np.fromiter(seen.values(), np.int64, len(seen)))
+        kinds = [s[i] for i in first]
+        yield h[first], kinds, np.array([min(many[x], 2) for x in kinds], np.int32), [row] * len(first), p[first], lo[first], hi[first], e[first]
+        own = np.array([many[x] > 1 for x in s])
+        start, end = np.flatnonzero(own & np.r_[True, ~own[:-1]]), np.flatnonzero(own & np.r_[~own[1:], True])
+        yield h[start], [None] * len(start), np.zeros(len(start), np.int32), [row] * len(start), p[start], lo[start], hi[end], e[end]
+
+    def frame(found: list[tuple]) -> pd.DataFrame:
+        h, s, n, row, *places = zip(*found, strict=True)
+        out = {"h": np.concatenate(h).view(np.int64), "s": list(chain.from_iterable(s)), "n": np.concatenate(n), "row": list(chain.from_iterable(row))}
+        return pd.DataFrame(out | {k: np.concatenate(v) for k, v in zip(("p", "lo", "hi", "e"), places, strict=True)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out: list[pd.DataFrame] = []
+            out: list[tuple] = []
             for key, text in zip(b["row"], b["text"], strict=True):
                 raw = to_bytes(text)
                 if len(raw) >= base:
                     out += of(key, raw)
                 if len(out) >= 500:
-                    yield pd.concat(out)
+                    yield frame(out)
                     out = []
             if out:
-                yield pd.concat(out)
+                yield frame(out)
 
     return docs.select("row", "text").mapInPandas(run, "h long, s binary, n int, row binary, p long, lo long, hi long, e long")
 
@@ -352,10 +352,10 @@ def settle(pieces: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
 def repeated_ranges(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), group_rows: int = GROUP_ROWS) -> DataFrame:
     """(row, lo, hi, length): runs of window starts that repeat; ``docs`` has row and text."""
     found = materialize(find_anchors(docs, lengths), "anchors")
-    shared = materialize(found.where("h is not null").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "repeated")  # stored, so that the join below may split a hot anchor
-    again = materialize(found.join(shared, "h"), "shared")
+    shared = materialize(found.where("n > 0").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "repeated")  # stored, so that the join below may split a hot anchor
+    again = materialize(found.where("n > 0").join(shared, "h"), "shared")
     segments = materialize(again.groupBy("h", "s").agg(F.sum("n").alias("n"), F.min(F.struct("row", "p", "lo", "hi", "e")).alias("x")), "segments")
-    whole = again.where("n = 1").join(segments.where("n > 1").select("h", "s"), ["h", "s"]).unionByName(found.where("h is null"), allowMissingColumns=True)
+    whole = again.where("n = 1").join(segments.where("n > 1").select("h", "s"), ["h", "s"]).unionByName(found.where("n = 0"), allowMissingColumns=True)
     whole = whole.select("row", "lo", "hi", "e", F.explode(F.array(*[F.lit(x) for x in lengths])).alias("length"))
     whole = whole.select("row", "lo", F.least("hi", F.col("e") - F.col("length")).alias("hi"), "length").where("lo <= hi")
 
