@@ -1,22 +1,34 @@
 """Operator 8, exact n-gram Jaccard join with adaptive multi-match prefixes.
 
-Documents with equal shingle sets form one class and are compared once. Tokens (shingle hashes)
-are ordered from rare to frequent by a sketch of counts over the whole corpus. Two sets that reach
-the threshold share at least k tokens among the first n - ceil(t n) + k of either, for any k; each
-document picks the k with the least estimated cost, where a longer prefix costs postings and a
-short one costs verifications of its frequent tokens. A pair is verified if it shares as many prefix
-tokens as the weaker of its two prefixes promises, and if its sets' counts by hash range (256 of them),
-which bound the overlap from above, leave the threshold possible.
-
-Only links between different components are of use to the component ids, so the join goes in two
-steps. First every posting list is linked as a star around its smallest member, which joins large
-groups of near copies at linear cost; then posting lists that still hold several components are
-searched for the pairs between those.
+Documents with equal shingle sets form one class and are compared once. Tokens (shingle hashes) are ordered
+from rare to frequent by a sketch of counts over the whole corpus. Two sets of n and m that link share o =
+ceil(t (n + m) / (1 + t)) tokens at least, so they share k tokens among the first n - o + k of the one and
+m - o + k of the other, for any k.
+
+* A document with enough rare tokens picks the k with the least estimated cost (a longer prefix costs postings,
+  a short one verifications); a pair is verified if it shares as many prefix tokens as the weaker of its two
+  prefixes promises. Such prefixes hold rare tokens only, so posting lists are short.
+* A document that is mostly frequent tokens (a near copy in a large group) posts all its rare ones, for k = 1. A
+  partner that shares none of them has to agree almost fully on the frequent ones: both sets together miss
+  D = n + m - 2 o - (rare tokens of either) at most. So the prefix is lengthened to all frequent tokens, dealt
+  into parts by hash, and whole parts have to match, all but D of them. Parts are ordered from rare to frequent
+  in turn, so a pair meets in one of the D + 1 rarest parts of either; where copies differ, parts are rare. How
+  many parts, follows from a document's rare tokens; parts halve from level to level, and a pair meets at the
+  finer of its two levels. If hashing leaves too few parts with tokens, the single tokens of the ordinary prefix are posted.
+
+Candidates are checked by their sets' counts by hash range (256 of them), which bound the overlap from above,
+and then by whole sets. Only links between different components are of use to the component ids, so the join
+goes in two steps. First every list is linked as a star around its most central member, which joins large
+groups of near copies at linear cost; then lists that still hold several components are searched for the pairs
+between those.
+
+Shingles are 64-bit hashes of their words and classes 128 bits over these; equal hashes count as equal words.
 
 Cases: null and empty texts, and texts without words, have the empty set and link with nothing
 (their component is their own row's doc_id); fewer words than a shingle are one shingle; repeated
-rows and equal sets link with each other; a null doc_id has a null component unless it links to a
-document with an id; an empty table gives an empty result.
+rows and equal sets link with each other; ties in rank go by hash; texts of any length are read whole; a null
+doc_id has a null component unless it links to a document with an id; an empty table gives an empty result.
+Columns other than doc_id and text, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -25,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mix64, parts, small_batches
+from .common import components, drop_table, materialize, mix64, parts, small_batches
 from .words import encode, word_hashes
 
 WORDS = 5
@@ -36,6 +48,11 @@ PERCENT = 80
 SKETCH_BITS = 20
 MOST_MATCHES = 16
 CHANCE = 0.5  # partners that any token may bring unseen by the sketch
+FREQUENT = 5  # doublings above an ordinary cell's count from which a token counts as frequent
+TOKEN = -1  # the level of rare tokens
+SPARE_PARTS = 16
+SINGLE = 99  # the level of single frequent tokens
+SIZE_STEP = 1.05
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -104,24 +121,66 @@ def least_overlap(n: int, percent: int = PERCENT) -> int:
     return -(-n * percent // 100)
 
 
-def choose_prefix(s: np.ndarray, ranks: np.ndarray, percent: int = PERCENT, most: int = MOST_MATCHES, verify_cost: float = 50.0) -> tuple[int, np.ndarray]:
-    """(k, prefix tokens) of a set: the number of matches k with the least estimated cost.
+def choose_prefix(n: int, partners: np.ndarray, most: int, percent: int = PERCENT, verify_cost: float = 50.0) -> int:
+    """The number of matches k, ``most`` at most, with the least estimated cost.
 
     A prefix for k matches has n - ceil(t n) + k tokens, of which a partner of the same size sees the first
     n - ceil(2 t n / (1 + t)) + k. Each token costs one posting, and those seen bring about as many partners as
-    they are frequent; k matches asked for leave a k-th of these to verify.
+    they are frequent (``partners``, summed along the order); k matches asked for leave a k-th of these to verify.
     """
+    same = -(-2 * n * percent // (100 + percent))
+    k = np.arange(1, most + 1)
+    return int(np.argmin(n - least_overlap(n, percent) + k + verify_cost * partners[n - same + k - 1] / k**2)) + 1
+
+
+def wanted_parts(missed: float) -> float:
+    """Parts with tokens that a set wants if a pair can miss so many: more than these, so that some are rare."""
+    return missed + 1 + min(missed + 1, SPARE_PARTS)
+
+
+def finest(n: float, percent: int = PERCENT) -> int:
+    """The finest level at which a set of n tokens is posted for its own sake."""
+    return int(np.ceil(np.log2(1.25 * wanted_parts(2 * n * (100 - percent) / (100 + percent)))))
+
+
+def equal_parts(tokens: np.ndarray, level: int) -> np.ndarray:
+    """One hash for each of the 2^level parts that holds any of ``tokens``: of its tokens, its place and the level."""
+    mixed = np.sort(mix64(tokens ^ np.uint64(0x5DEECE66D1CE4E5B)))
+    cell = mixed >> np.uint64(64 - level) if level else np.zeros(len(mixed), np.uint64)
+    starts = np.r_[0, np.flatnonzero(cell[1:] != cell[:-1]) + 1]
+    sums = np.add.reduceat(mix64(mixed), starts)
+    return mix64(sums + mix64(cell[starts] * np.uint64(128) + np.uint64(level + 1)))
+
+
+def postings(s: np.ndarray, ranks: np.ndarray, percent: int = PERCENT, most: int = MOST_MATCHES) -> tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]:
+    """(k, rare tokens, own level, and for each posting: key, level, parts of that level) of a set; the prefix comes first, in order."""
     bits = len(ranks).bit_length() - 1
     rank = ranks[(s >> np.uint64(64 - bits)).astype(np.int64)]
     order = np.lexsort((s, rank))
-    need = least_overlap(len(s), percent)
-    partners = np.cumsum(np.exp2(rank[order].astype(np.float64)) - 1 + CHANCE)
-    same = -(-2 * len(s) * percent // (100 + percent))
-    costs = []
-    for k in range(1, min(most, need) + 1):
-        costs.append(len(s) - need + k + verify_cost * partners[len(s) - same + k - 1] / k**2)
-    k = int(np.argmin(costs)) + 1
-    return k, s[order[: len(s) - need + k]]
+    n, room, rare = len(s), len(s) - least_overlap(len(s), percent), int((rank < FREQUENT).sum())
+    if rare > room:
+        partners = np.cumsum(np.exp2(rank[order].astype(np.float64)) - 1 + CHANCE)
+        k = choose_prefix(n, partners, min(most, n - room, rare - room), percent)
+        own, keys, levels, counts = TOKEN, [s[order[: room + k]]], [TOKEN], [0]
+    else:
+        k, missed = 1, max(0, int(np.floor(2 * (n * (100 - percent) / (100 + percent) - rare))))
+        frequent = s[order[rare:]]
+        own, keys, levels, counts = SINGLE, [s[order[:rare]]], [TOKEN], [0]
+        for level in range(finest(n * 100 / percent, percent) + 1):
+            if own == SINGLE and (level > finest(n, percent) or 1 << level < wanted_parts(missed)):
+                continue
+            found = equal_parts(frequent, level)
+            if own == SINGLE and len(found) >= wanted_parts(missed):
+                own = level
+            if own != SINGLE:
+                keys.append(found)
+                levels.append(level)
+                counts.append(len(found))
+        keys.append(mix64(s[order[rare : room + 1]] ^ np.uint64(0xD1B54A32D192ED03)))
+        levels.append(SINGLE)
+        counts.append(0)
+    sizes = [len(x) for x in keys]
+    return k, rare, own, np.concatenate(keys), np.repeat(levels, sizes).astype(np.int32), np.repeat(counts, sizes).astype(np.int32)
 
 
 def spread(s: np.ndarray) -> bytes:
@@ -144,61 +203,92 @@ def possible(pairs: DataFrame, members: DataFrame, percent: int = PERCENT) -> Da
     return pairs.join(sides[0], "a").join(sides[1], "b").where(enough("na", "nb", "sa", "sb")).select("a", "b")
 
 
-def prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """(doc_id, class, n, k, prefix, spread) of every document; class is null for the empty set."""
+def prefixes(docs: DataFrame, ranks: np.ndarray, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, class, n, k, rare, own, posts, spread) of every document; class is null for the empty set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["class", "n", "k", "rare", "own", "keys", "levels", "counts", "spread"]
+        none = (None, 0, 0, 0, 0, np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), None)
         for b in batches:
             out = []
             for t in b["text"]:
                 s = shingles(t)
                 if len(s):
-                    k, prefix = choose_prefix(s, ranks)
-                    out.append((_signature(s), len(s), k, prefix.view(np.int64), spread(s)))
+                    k, rare, own, keys, levels, counts = postings(s, ranks, percent)
+                    out.append((_signature(s), len(s), k, rare, own, keys.view(np.int64), levels, counts, spread(s)))
                 else:
-                    out.append((None, 0, 0, np.zeros(0, np.int64), None))
-            got = pd.DataFrame(out, columns=["class", "n", "k", "prefix", "spread"])
-            yield pd.concat([b["doc_id"].astype("Int64").reset_index(drop=True), got], axis=1)
+                    out.append(none)
+            yield pd.concat([b["doc_id"].astype("Int64").reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return ids.mapInPandas(run, "doc_id long, class binary, n long, k int, prefix array<long>, spread binary")
+    return ids.mapInPandas(run, "doc_id long, class binary, n long, k int, rare int, own int, keys array<long>, levels array<int>, counts array<int>, spread binary")
 
 
 def _fits(a: str, b: str, percent: int = PERCENT) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
-def across(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of different components (c) whose prefixes share as many tokens as they must.
+def rarest_parts(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``lists`` with each document's parts of a level only as far as a pair may have to look, placed from rare to frequent.
+
+    ``many`` is the length of a list. Parts that no other document holds come first; they aren't in ``lists``.
+    """
+    by = Window.partitionBy("id", "level")
+    slack = F.col("n") * (100 - percent) / (100 + percent) - F.col("rare")
+    of_level = F.pow(F.lit(2.0), F.col("level"))
+    most = (F.greatest((of_level - 2) / 2, of_level - 1 - SPARE_PARTS) + 1) / 2  # the slack of documents of this level
+    parts_ = lists.where(F.col("level").between(0, SINGLE - 1)).withColumn("place", F.col("parts") - F.count("*").over(by) + F.row_number().over(by.orderBy("many", "key")))
+    return lists.where(F.col("level").isin(TOKEN, SINGLE)).unionByName(parts_.where(F.col("place") <= F.floor(slack + most + 1e-9) + 1))
 
-    For sets of n >= m the overlap must be o = ceil(t (n + m) / (1 + t)) at least, so only matches within the
-    first n - o + k and m - o + k tokens count. The smaller set's posting lies in one size class; the larger
-    one's goes to each class that its place in the prefix leaves possible. Within a (token, class) list one
-    component, the most frequent, is never paired with itself: every pair has a side outside it.
+
+def _over(n: str, m: str, percent: int) -> str:
+    """SQL of the overlap that sets of n and m need."""
+    return f"cast(ceil({percent} * ({n} + {m}) / {100 + percent}D - 1e-9) as bigint)"
+
+
+def meetings(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b, need): one row for each posting list in which two sets of different components (c) meet that may link.
+
+    ``postings`` has key, level, place, id, n, k, rare, own and c. Within a list the most frequent component is never
+    paired with itself: every pair has a side outside it. A set with so many rare tokens that only smaller
+    partners are left meets those alone, by size class.
     """
-    mixed = postings.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-    postings = materialize(postings.join(mixed, "token"), "mixed")
-    step = 1.05
-    over = lambda n, m: f"cast(ceil({percent} * ({n} + {m}) / {100 + percent}D - 1e-9) as bigint)"
-    size_class = lambda x: f"cast(floor(ln({x}) / ln({step}D) + 1e-9) as int)"
-    small = postings.where(f"pos <= n - {over('n', 'n')} + k").withColumn("g", F.expr(size_class("n")))
-    least = F.expr(f"ceil({percent} * n / 100D - 1e-9)")
-    large = postings.withColumn("g", F.explode(F.sequence(F.expr(size_class(f"ceil({percent} * n / 100D - 1e-9)")), F.expr(size_class("n")))))
-    large = large.withColumn("m_lo", F.greatest(least, F.ceil(F.pow(F.lit(step), F.col("g")) - 1e-3))).where(f"pos <= n - {over('n', 'least(n, m_lo)')} + k").drop("m_lo")
-    both = materialize(
-        small.withColumn("large", F.lit(False)).unionByName(large.withColumn("large", F.lit(True))).select("token", "g", "large", "pos", "id", "n", "k", "c"), "sides"
-    )
-    held = both.groupBy("token", "g", "c").agg(F.count("*").alias("x"), F.bool_or("large").alias("l"), F.bool_or(~F.col("large")).alias("s"))
-    lists = held.groupBy("token", "g").agg(F.max_by("c", F.struct("x", "c")).alias("major"), F.count("*").alias("cs"), F.bool_or("l").alias("l"), F.bool_or("s").alias("s"))
-    open_ = materialize(lists.where("cs > 1 and l and s").select("token", "g", "major"), "open")
-    sides = materialize(both.join(open_, ["token", "g"]), "open-sides")
-    a, b = (sides.where(w).select("token", "g", *[F.col(c).alias(f"{c}{i}") for c in ("pos", "id", "n", "k", "c")], (F.col("c") != F.col("major")).alias(f"minor{i}")) for w, i in (("large", 1), ("not large", 2)))
-    real = f"""c1 <> c2 and (n1 > n2 or n1 = n2 and id1 <> id2) and {_fits("n1", "n2")}
-        and pos1 <= n1 - {over("n1", "n2")} + least(k1, k2) and pos2 <= n2 - {over("n1", "n2")} + least(k1, k2)"""
-    pairs = a.where("minor1").join(b, ["token", "g"]).where(real).union(a.where("not minor1").join(b.where("minor2"), ["token", "g"]).where(real))
-    same = pairs.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), (F.col("n1") == F.col("n2")).cast("int").alias("twice"), F.least("k1", "k2").alias("k"))
-    counted = same.groupBy("a", "b").agg((F.count("*") / (1 + F.max("twice"))).alias("m"), F.first("k").alias("k"))
-    return counted.where("m >= k").select("a", "b")
+    held = postings.groupBy("key", "level", "c").agg(F.count("*").alias("x"), F.bool_or(F.expr(f"level = own or level = {TOKEN}")).alias("leads"))
+    lists = held.groupBy("key", "level").agg(F.max_by("c", F.struct("x", "c")).alias("major"), F.count("*").alias("cs"), F.bool_or("leads").alias("leads"))
+    open_ = materialize(lists.where("cs > 1 and leads").select("key", "level", "major"), "open")
+    limit = f"({100 + percent} * (n - rare) / {percent}D - n + 1e-9)"  # the largest partner that a set can miss its rare tokens with
+    sides = postings.join(open_, ["key", "level"]).selectExpr("*", "c <> major as minor", f"level <> {TOKEN} and n > {limit} as strict", f"{limit} as most")
+    sides = materialize(sides.drop("major"), "sides")
+    one, two = (sides.select("key", "level", *[F.col(c).alias(f"{c}{i}") for c in sides.columns if c not in ("key", "level")]) for i in "12")
+    need = _over("n1", "n2", percent)
+    fits = f"c1 <> c2 and {_fits('n1', 'n2', percent)}"
+    rare = f"{fits} and id1 < id2 and place1 <= n1 - {need} + least(k1, k2) and place2 <= n2 - {need} + least(k1, k2)"
+    missed = f"n1 + n2 - 2 * {need} - rare1 - rare2"
+    near = f"(level = {SINGLE} or greatest(place1, place2) <= {missed} + 1)"
+    parts_ = f"{fits} and n1 - rare1 >= {need} and n2 - rare2 >= {need} and {missed} >= 0 and {near}"
+
+    def paired(a: DataFrame, b: DataFrame, on: list[str], real: str) -> DataFrame:
+        """Pairs of a list but those within its main component."""
+        return a.where("minor1").join(b, on).where(real).unionByName(a.where("not minor1").join(b.where("minor2"), on).where(real))
+
+    ordered = "(own1 = level and (own2 < level or id1 < id2))"
+    size_class = lambda x: F.floor(F.log(x) / np.log(SIZE_STEP) + 1e-9).cast("int")
+    narrow = one.where("strict1").withColumn("g", F.explode(F.sequence(size_class(F.expr(f"ceil({percent} * n1 / 100D - 1e-9)")), size_class(F.greatest("most1", F.expr(f"{percent} * n1 / 100D"))))))
+    wide = two.where("not strict2").withColumn("g", size_class(F.col("n2")))
+    tokens = [x.where(F.col("level") == TOKEN) for x in (one, two)]
+    frequent = [x.where(f"level <> {TOKEN} and not strict{i}") for x, i in ((one, 1), (two, 2))]
+    found = paired(*tokens, ["key", "level"], rare).selectExpr("id1", "id2", "least(k1, k2) as need")
+    for x in (
+        paired(*frequent, ["key", "level"], f"{parts_} and {ordered}"),
+        paired(narrow, wide, ["key", "level", "g"], f"{parts_} and greatest(own1, own2) = level"),
+    ):
+        found = found.unionByName(x.selectExpr("id1", "id2", "1 as need"))
+    return found.selectExpr("least(id1, id2) as a", "greatest(id1, id2) as b", "need")
+
+
+def across(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of different components that meet as often as sets that link must, by rare tokens or by parts."""
+    return meetings(postings, percent).groupBy("a", "b", "need").count().where("count >= need").select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -218,26 +308,20 @@ def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, percent: int
     near = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where(maybe(F.pmod(F.xxhash64("rep"), F.lit(1 << bits))))
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:  # ids given twice: only the text of the class itself
-            yield b[[_signature(shingles(t)) == c for t, c in zip(b["text"], b["class"], strict=True)]][["id", "text"]]
+        for b in batches:  # ids given twice: only the set of the class itself
+            sets = [shingles(t) for t in b["text"]]
+            kept = [_signature(s) == c for s, c in zip(sets, b["class"], strict=True)]
+            yield pd.DataFrame({"id": b["id"][kept], "tokens": [s.view(np.int64) for s, k in zip(sets, kept, strict=True) if k]})
 
     joined = near.join(wanted, near["rep"].eqNullSafe(wanted["rep"])).where("text is not null").select("id", "class", "text")
-    texts = materialize(joined.mapInPandas(own, "id long, text string").dropDuplicates(["id"]), "texts")
-
-    @F.pandas_udf("boolean")
-    def reach(left: pd.Series, right: pd.Series) -> pd.Series:
-        out, last, s = [], None, None
-        for x, y in zip(left, right, strict=True):
-            if x != last:
-                last, s = x, shingles(x)
-            t = shingles(y)
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            out.append(100 * both >= percent * (len(s) + len(t) - both))
-        return pd.Series(out, dtype=bool)
-
-    both = pairs.select("a", "b").join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
-    both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
-    return materialize(both.where(reach("left", "right")).select("a", "b"), "links")
+    sets = materialize(joined.mapInPandas(own, "id long, tokens array<long>").dropDuplicates(["id"]), "sets")
+    both = pairs.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("right")), "b")
+    both = both.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("left")), "a")
+    shared = F.size(F.array_intersect("left", "right"))
+    links = materialize(both.where((100 + percent) * shared >= percent * (F.size("left") + F.size("right"))).select("a", "b"), "links")
+    for x in (pairs, wanted, sets):
+        drop_table(x)
+    return links
 
 
 def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -245,25 +329,31 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     ranks = frequency_ranks(count_sketch(docs))
-    signed = materialize(prefixes(docs, ranks), "prefixes")
-    classes = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("k").alias("k"), F.first("prefix").alias("prefix"), F.first("spread").alias("spread"))
+    signed = materialize(prefixes(docs, ranks, percent), "prefixes")
+    carried = ("n", "k", "rare", "own", "keys", "levels", "counts", "spread")
+    classes = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in carried])
     members = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    posted = members.select(F.posexplode("prefix").alias("pos", "token"), "id", (F.col("n") * 32 + F.col("k")).alias("nk"))
-    listed = posted.selectExpr("*", "count(*) over (partition by token) as many", "min(struct(pos, id)) over (partition by token).id as pivot").where("many > 1")
-    lists = materialize(listed.selectExpr("token", "pos + 1 as pos", "id", "nk div 32 as n", "cast(nk % 32 as int) as k", "pivot"), "lists")
-
-    ids = members.select(F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("k").alias("pk"))
-    stars = lists.where("id <> pivot").groupBy("id", "n", "k", "pivot").count().join(ids, "pivot").where(_fits("n", "pn")).where("count >= least(k, pk)")
+    zipped = F.posexplode(F.arrays_zip("keys", "levels", "counts")).alias("place", "post")
+    posted = members.select(zipped, "id", "n", "k", "rare", "own").selectExpr("post.keys as key", "post.levels as level", "place + 1 as place", "post.counts as parts", "id", "n", "k", "rare", "own")
+    central = F.struct(F.col("rare") / F.col("n"), F.col("id"))
+    many = posted.groupBy("key", "level").agg(F.count("*").alias("many"), F.min_by(F.struct("id", "n", "rare", "k"), central).alias("pivot"))
+    many = materialize(many.where("many > 1"), "lists")  # stored, so that the join below may split a long list
+    lists = materialize(rarest_parts(posted.join(many, ["key", "level"]), percent), "postings")
+
+    stars = lists.where("id <> pivot.id").where(_fits("n", "pivot.n", percent)).groupBy("id", "n", "k", "rare", F.col("pivot.id").alias("pivot"), F.col("pivot.k").alias("pk"), (F.col("level") == TOKEN).alias("token")).count()
+    close = stars.where("not token").groupBy("id").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
+    stars = stars.where("token and count >= least(k, pk)").select("id", "pivot").union(close.select("id", "pivot")).distinct()
     first = verified(stars.select(F.col("pivot").alias("a"), F.col("id").alias("b")), members, docs, percent)
     joined = components(first, "first")
 
-    at = lists.join(joined.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("c", F.coalesce("root", "id"))
-    matched = across(at.select("token", "pos", "id", "n", "k", "c"), percent)
-    rest = verified(matched, members, docs, percent)
+    at = lists.drop("pivot", "many", "parts").join(joined.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
+    rest = verified(across(at, percent), members, docs, percent)
     whole = components(first.union(rest), "whole")
 
     rooted = members.select("class", "id", "rep").join(whole.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = rooted.join(least, "root").select("class", "component_id")
     out = signed.select("doc_id", "class", F.col("n").alias("n_shingles")).join(named, "class", "left")
+    for x in (many, lists):
+        drop_table(x)
     return out.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
