@@ -158,7 +158,8 @@ def components(edges: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        e = materialize(small, f"{label}-round")
+        old, e = e, materialize(small, f"{label}-round")
+        drop_table(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -334,19 +334,22 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in carried])
     members = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     zipped = F.posexplode(F.arrays_zip("keys", "levels", "counts")).alias("place", "post")
-    posted = members.select(zipped, "id", "n", "k", "rare", "own").selectExpr("post.keys as key", "post.levels as level", "place + 1 as place", "post.counts as parts", "id", "n", "k", "rare", "own")
-    central = F.struct(F.col("rare") / F.col("n"), F.col("id"))
-    many = posted.groupBy("key", "level").agg(F.count("*").alias("many"), F.min_by(F.struct("id", "n", "rare", "k"), central).alias("pivot"))
-    many = materialize(many.where("many > 1"), "lists")  # stored, so that the join below may split a long list
-    lists = materialize(rarest_parts(posted.join(many, ["key", "level"]), percent), "postings")
+    posted = members.select(zipped, "id", "n", "k", "rare", "own").selectExpr("post.keys as key", "post.levels as level", "place + 1 as place", "post.counts as parts", "id", "n * 32 + k as nk", "rare * 128 + own + 1 as ro")
+    many = posted.groupBy("key", "level").agg(F.count("*").alias("many")).where("many > 1")
+    many = materialize(many, "lists")  # stored, so that the join below may split a long list
+    shared = posted.join(many, ["key", "level"]).selectExpr("key", "level", "place", "parts", "id", "nk div 32 as n", "cast(nk % 32 as int) as k", "ro div 128 as rare", "cast(ro % 128 - 1 as int) as own", "many")
+    lists = materialize(rarest_parts(shared, percent), "postings")
 
-    stars = lists.where("id <> pivot.id").where(_fits("n", "pivot.n", percent)).groupBy("id", "n", "k", "rare", F.col("pivot.id").alias("pivot"), F.col("pivot.k").alias("pk"), (F.col("level") == TOKEN).alias("token")).count()
+    central = F.struct(F.col("rare") / F.col("n"), F.col("id"))
+    pivots = materialize(lists.groupBy("key", "level").agg(F.min_by(F.struct("id", "n", "k"), central).alias("pivot")), "pivots")
+    met = lists.join(pivots, ["key", "level"]).where("id <> pivot.id").where(_fits("n", "pivot.n", percent))
+    stars = met.groupBy("id", F.col("pivot.id").alias("pivot"), F.expr("least(k, pivot.k)").alias("k"), (F.col("level") == TOKEN).alias("token")).count()
     close = stars.where("not token").groupBy("id").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
-    stars = stars.where("token and count >= least(k, pk)").select("id", "pivot").union(close.select("id", "pivot")).distinct()
+    stars = stars.where("token and count >= k").select("id", "pivot").union(close.select("id", "pivot")).distinct()
     first = verified(stars.select(F.col("pivot").alias("a"), F.col("id").alias("b")), members, docs, percent)
     joined = components(first, "first")
 
-    at = lists.drop("pivot", "many", "parts").join(joined.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
+    at = lists.drop("many", "parts").join(joined.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
     rest = verified(across(at, percent), members, docs, percent)
     whole = components(first.union(rest), "whole")
 
@@ -354,6 +357,6 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = rooted.join(least, "root").select("class", "component_id")
     out = signed.select("doc_id", "class", F.col("n").alias("n_shingles")).join(named, "class", "left")
-    for x in (many, lists):
+    for x in (many, lists, pivots):
         drop_table(x)
     return out.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -220,6 +220,20 @@ def repeated_windows(segments: list[bytes], group: np.ndarray, left: np.ndarray,
     return x[new], d[new], d[ends]
 
 
+def without_spans(text: str, spans: list) -> str:
+    """``text`` without the byte ranges ``spans``; a character of which they take a part goes whole."""
+    raw, out, done = to_bytes(text).tobytes(), [], 0
+    for s in spans:
+        lo, hi = s["lo"], s["hi"]
+        while lo > done and raw[lo] & 0xC0 == 0x80:
+            lo -= 1
+        while hi < len(raw) and raw[hi] & 0xC0 == 0x80:
+            hi += 1
+        out.append(raw[done:lo])
+        done = max(hi, done)
+    return b"".join([*out, raw[done:]]).decode("utf-8", "surrogatepass")
+
+
 # --- the distributed operator ---------------------------------------------------------------------
 
 

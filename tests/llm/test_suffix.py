@@ -69,3 +69,9 @@ def test_columns_go_through(spark):
     out = suffix.remove(frame)
     assert out.columns == ["doc_id", "text", "row", "runs", "kept_text", "n_bytes", "n_removed", "removed_spans", "passage_bytes"]
     assert {(r.doc_id, r["row"], r.runs, r.n_removed) for r in out.collect()} == {(1, "mine", "r", 0), (None, None, None, 0)}
+
+
+def test_characters_go_whole():
+    spans = [{"lo": 2, "hi": 4}, {"lo": 5, "hi": 7}]
+    assert suffix.without_spans("aébcé漢z", spans) == "az"[:1] + "z"[:0] + bytes("aébcé漢z", "utf-8")[4:5].decode() + bytes("aébcé漢z", "utf-8")[7:].decode()
+    assert suffix.without_spans("ééé", [{"lo": 1, "hi": 3}]) == "é" and suffix.without_spans("abc", []) == "abc"
