@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +37,38 @@ def merged_aircraft(fixes: DataFrame) -> DataFrame:
     return gathered.select("id", "hour", folded.alias("a")).select("id", "hour", "a.seq", "a.t", "a.lat", "a.lon", "a.name", "a.flags")
 
 
+def merged_tracks(fixes: DataFrame) -> DataFrame:
+    """The rule of ``merged_aircraft`` over whole tracks: one row per aircraft, however long it is followed.
+
+    Fixes stream through the fold sorted by track and arrival, one running fix at a time; a track is one task's
+    work, but never held in memory.
+    """
+    schema = "id string, seq long, t long, lat double, lon double, name string, flags long"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        track, now = None, None
+        for b in batches:
+            out = []
+            for x in b.itertuples(index=False):
+                rank = SOURCE_RANK.get(x.source, 9)
+                name = None if pd.isna(x.name) else x.name
+                if track is None or x.id != track:
+                    if track is not None:
+                        out.append((track, *now[:2], *now[3:]))
+                    track, now = x.id, [x.seq, x.t, rank, x.lat, x.lon, name, x.flags]
+                    continue
+                if x.t > now[1] + 1 or (abs(x.t - now[1]) <= 1 and rank < now[2]):
+                    now = [x.seq, x.t, rank, x.lat, x.lon, name if name is not None else now[5], now[6] | x.flags]
+                else:
+                    now[5], now[6] = now[5] if now[5] is not None else name, now[6] | x.flags
+            yield pd.DataFrame(out, columns=["id", "seq", "t", "lat", "lon", "name", "flags"])
+        if track is not None:
+            yield pd.DataFrame([(track, *now[:2], *now[3:])], columns=["id", "seq", "t", "lat", "lon", "name", "flags"])
+
+    rows = fixes.where("id is not null").select("id", "seq", "t", "lat", "lon", "name", "flags", "source").repartition("id").sortWithinPartitions("id", "seq")
+    return rows.mapInPandas(run, schema)
+
+
 def tiers(readings: DataFrame, up: int = 10, hold: int = 7) -> DataFrame:
     """Final tier of each tile by hysteresis: promoted at once, demoted after two lower readings in a row; hot
     stays hot from ``hold`` on. Folded over the readings (tile, at, n) of a tile in order."""
