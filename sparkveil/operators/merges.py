@@ -142,3 +142,16 @@ def truncated(df: DataFrame, order: list, limit: int) -> DataFrame:
     """The first ``limit`` rows in order, and whether there are more."""
     rows = df.orderBy(*order).limit(limit + 1)
     return rows.withColumn("more", F.count("*").over(Window.partitionBy()) > limit).orderBy(*order).limit(limit)
+
+
+def layer_deltas(writes: DataFrame, longest: int = 512) -> DataFrame:
+    """One message per (layer, write) with the changed features: of rows with one id the last wins field by field.
+
+    ``writes`` has batch, layer, id, seq and props (map of strings); values over ``longest`` characters are left out.
+    """
+    short = F.map_filter("props", lambda k, v: v.isNotNull() & (F.length(v) <= longest))
+    fields = writes.select("batch", "layer", "id", "seq", F.explode_outer(short).alias("k", "v"))
+    last = fields.groupBy("batch", "layer", "id", "k").agg(F.max_by("v", "seq").alias("v"))
+    kept = F.filter(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["k"].isNotNull())
+    features = last.groupBy("batch", "layer", "id").agg(F.map_from_entries(kept).alias("props"))
+    return features.groupBy("batch", "layer").agg(F.count("*").alias("features"), F.to_json(F.array_sort(F.collect_list(F.struct("id", F.to_json("props").alias("props"))))).alias("message"))

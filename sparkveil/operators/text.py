@@ -149,3 +149,20 @@ def duration_seconds(text: Column) -> Column:
     factor = F.when(unit == "s", 1).when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86_400).when(unit == "w", 604_800)
     words = F.when(text == "realtime", 5).when(text == "hourly", 3600).when(text == "daily", 86_400).when(text == "weekly", 604_800).when(text == "on_demand", -1)
     return F.coalesce(F.try_to_number(F.regexp_extract(text, r"^([0-9]+)", 1), F.lit("999999")).cast("bigint") * factor, words.cast("bigint"), F.lit(3600).cast("bigint"))
+
+
+#: Entities that plain text of pages spells out.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+
+
+def strip_tags(html: Column) -> Column:
+    """Text of a page: tags as blanks, the common entities spelled out, runs of blanks joined."""
+    text = F.regexp_replace(html, "<[^>]+>", " ")
+    for name, sign in ENTITIES.items():
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def slug(text: Column) -> Column:
+    """Letters and digits of a name, lower-cased: ``Example Corp, Inc.`` is ``examplecorp``."""
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")

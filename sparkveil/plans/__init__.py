@@ -1,4 +1,4 @@
 """Queries over the given tables, by family; importing this package fills the registry."""
 
-from . import aggregates, feeds, lists, matching, merges, records, search, states, streams, text, webintel  # noqa: F401
+from . import aggregates, feeds, lists, matching, merges, places, records, search, states, streams, text, webintel  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
