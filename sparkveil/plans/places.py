@@ -63,9 +63,13 @@ def deltas(spark, sf):
     return m.layer_deltas(writes)
 
 
-@query("c3_coin_addresses")
+_ADDRESSES = "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4 1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa 3J98t1WpEZ73CNmQviecrnyiWrnqRhWNLy".split()
+_PICKED = f"element_at(array({', '.join(map(repr, _ADDRESSES))}), cast(c_custkey % 3 as int) + 1)"
+
+
+@query("c3_coin_addresses", f"""with w as (select c_custkey as user, [{', '.join(map(repr, _ADDRESSES))}][(c_custkey % 3)::int + 1] as word, (4 + c_custkey % 30)::int as at from customer)
+    select user, case when user % 4 = 0 then word else substr(word, 1, at - 1) || 'p' || substr(word, at + 1) end as word, user % 4 = 0 or substr(word, at, 1) = 'p' as valid from w""")
 def coins(spark, sf):
-    """Words of all documents that have the form of a coin address, and whether their checksum holds."""
-    form = r"\b(?:[13][1-9A-HJ-NP-Za-km-z]{25,34}|bc1[02-9ac-hj-np-z]{11,71})\b"
-    words = b.load(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(form), F.lit(0)))).alias("word"))
-    return words.withColumn("valid", checksums.coin_address("word"))
+    """Addresses of all customers, most of them with one character changed, and whether their checksum holds."""
+    words = b.load(spark, sf, "customer").selectExpr("c_custkey as user", f"{_PICKED} as word", "cast(4 + c_custkey % 30 as int) as at")
+    return words.selectExpr("user", "if(user % 4 = 0, word, concat(substr(word, 1, at - 1), 'p', substr(word, at + 1))) as word").withColumn("valid", checksums.coin_address("word"))
