@@ -67,8 +67,8 @@ _ADDRESSES = "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4 1A1zP1eP5QGefi2DMPTfTL5
 _PICKED = f"element_at(array({', '.join(map(repr, _ADDRESSES))}), cast(c_custkey % 3 as int) + 1)"
 
 
-@query("c3_coin_addresses", f"""with w as (select c_custkey as user, [{', '.join(map(repr, _ADDRESSES))}][(c_custkey % 3)::int + 1] as word, (4 + c_custkey % 30)::int as at from customer)
-    select user, case when user % 4 = 0 then word else substr(word, 1, at - 1) || 'p' || substr(word, at + 1) end as word, user % 4 = 0 or substr(word, at, 1) = 'p' as valid from w""")
+@query("c3_coin_addresses", f"""with w as (select c_custkey as "user", [{', '.join(map(repr, _ADDRESSES))}][(c_custkey % 3)::int + 1] as word, (4 + c_custkey % 30)::int as spot from customer)
+    select "user", case when "user" % 4 = 0 then word else substr(word, 1, spot - 1) || 'p' || substr(word, spot + 1) end as word, "user" % 4 = 0 or substr(word, spot, 1) = 'p' as valid from w""")
 def coins(spark, sf):
     """Addresses of all customers, most of them with one character changed, and whether their checksum holds."""
     words = b.load(spark, sf, "customer").selectExpr("c_custkey as user", f"{_PICKED} as word", "cast(4 + c_custkey % 30 as int) as at")
