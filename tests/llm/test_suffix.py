@@ -72,6 +72,5 @@ def test_columns_go_through(spark):
 
 
 def test_characters_go_whole():
-    spans = [{"lo": 2, "hi": 4}, {"lo": 5, "hi": 7}]
-    assert suffix.without_spans("aébcé漢z", spans) == "az"[:1] + "z"[:0] + bytes("aébcé漢z", "utf-8")[4:5].decode() + bytes("aébcé漢z", "utf-8")[7:].decode()
+    assert suffix.without_spans("aébcé漢z", [{"lo": 2, "hi": 4}, {"lo": 5, "hi": 7}]) == "ac漢z"
     assert suffix.without_spans("ééé", [{"lo": 1, "hi": 3}]) == "é" and suffix.without_spans("abc", []) == "abc"
