@@ -133,14 +133,8 @@ def reverse(spark, sf):
     return m.reverse_labels(b.addresses(spark, sf))
 
 
-@query("i4_address_order", sql("select target, ip, row_number() over (order by ip_num, target)::int as place from addresses order by ip_num, target limit 500", "addresses"))
+@query("i4_address_order", sql("select target, ip, row_number() over (order by ip_num, target)::bigint as place from addresses", "addresses"))
 def ordered(spark, sf):
-    top = b.addresses(spark, sf).orderBy("ip_num", "target").limit(500)
-    return top.selectExpr("target", "ip", "row_number() over (order by ip_num, target) as place")
-
-
-@query("i4_address_order_whole", sql("select target, ip, row_number() over (order by ip_num, target)::bigint as place from addresses", "addresses"))
-def all_ordered(spark, sf):
     return m.address_order(b.addresses(spark, sf))
 
 

@@ -83,19 +83,10 @@ def graph(spark, sf):
     return s.subgraph(nodes, b.relations(spark, sf), 2000).groupBy("src", "dst", "rel").agg(F.count("*").alias("lines"))
 
 
-@query("k15_k_hop", sql("""with ends as (select distinct src as a, dst as b from relations union select distinct dst, src from relations), h0 as (select c_custkey as node from customer where c_custkey % 500 = 1),
-    h1 as (select distinct b as node from ends where a in (select node from h0) and b not in (select node from h0)),
-    h2 as (select distinct b as node from ends where a in (select node from h1) and b not in (select node from h0) and b not in (select node from h1))
-    select node, 0 as hops from h0 union all select node, 1 from h1 union all select node, 2 from h2""", "relations"))
-def k_hop(spark, sf):
-    seeds = b.load(spark, sf, "customer").where("c_custkey % 500 = 1").selectExpr("c_custkey as id")
-    return s.k_hop(seeds, b.relations(spark, sf), 2)
-
-
-@query("k15_k_hop_whole", sql("""with recursive ends as (select distinct src as a, dst as b from relations union select distinct dst, src from relations),
+@query("k15_k_hop", sql("""with recursive ends as (select distinct src as a, dst as b from relations union select distinct dst, src from relations),
     h as (select c_custkey as node, 0 as hops from customer where c_custkey % 100 = 0 union select b, hops + 1 from h join ends on a = node where hops < 2)
     select node, min(hops)::int as hops from h group by node""".replace("with recursive ", "with "), "relations").replace("with ", "with recursive ", 1))
-def k_hop_query_set(spark, sf):
+def k_hop(spark, sf):
     seeds = b.load(spark, sf, "customer").where("c_custkey % 100 = 0").selectExpr("c_custkey as id")
     return s.k_hop(seeds, b.relations(spark, sf), 2)
 
@@ -120,15 +111,8 @@ def window(spark, sf):
     return seen.orderBy(F.col("t").desc(), F.col("seq").desc()).limit(5000).select("seq", "key", "layer", "t")
 
 
-@query("e12_parent_resolution", sql("""select e.seq, e.type, e.value, p.seq as parent_seq, p.seq is null as missing from emissions e left join (select value, type, min(seq) as seq from emissions where run < 60 group by all) p on p.value = e.value and p.type = e.type""", "emissions"))
+@query("e12_parent_resolution", sql("""select e.seq, e.type, e.value, min(p.seq) as parent_seq, count(p.seq) = 0 as missing from emissions e left join emissions p on p.value = e.value and p.type = e.type and p.run < e.run group by all""", "emissions"))
 def parents(spark, sf):
-    e = b.emissions(spark, sf)
-    first = e.where("run < 60").groupBy("value", "type").agg(F.min("seq").alias("parent_seq"))
-    return e.join(first, ["value", "type"], "left").select("seq", "type", "value", "parent_seq", F.col("parent_seq").isNull().alias("missing"))
-
-
-@query("e12_parent_resolution_whole", sql("""select e.seq, e.type, e.value, min(p.seq) as parent_seq, count(p.seq) = 0 as missing from emissions e left join emissions p on p.value = e.value and p.type = e.type and p.run < e.run group by all""", "emissions"))
-def all_parents(spark, sf):
     return s.resolved_parents(b.emissions(spark, sf))
 
 
@@ -139,12 +123,6 @@ def positions(spark, sf):
     return f.join(state, "id").where("t > state_t - 3600").select("id", "seq", "lat", "lon", "state_t")
 
 
-@query("e22_already_seen", sql("select seq, type, value from emissions e where run >= 60 and not exists (select 1 from emissions o where o.run < 60 and o.type = e.type and o.value = e.value)", "emissions"))
+@query("e22_already_seen", sql("select seq, type, value from emissions e where not exists (select 1 from emissions o where o.run < e.run and o.type = e.type and o.value = e.value)", "emissions"))
 def unseen(spark, sf):
-    e = b.emissions(spark, sf)
-    return e.where("run >= 60").join(e.where("run < 60").select("type", "value").distinct(), ["type", "value"], "left_anti").select("seq", "type", "value")
-
-
-@query("e22_already_seen_whole", sql("select seq, type, value from emissions e where not exists (select 1 from emissions o where o.run < e.run and o.type = e.type and o.value = e.value)", "emissions"))
-def all_unseen(spark, sf):
     return s.first_seen(b.emissions(spark, sf))
