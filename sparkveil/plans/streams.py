@@ -11,7 +11,7 @@ from .registry import ORACLES, query, sql
 
 
 def _fixes(spark, sf):
-    events = run.stream_of(spark, sf, "events")
+    events = run.stream_of(spark, sf, "events", run.BATCH_BYTES)
     return events.selectExpr(
         "cast(ts as timestamp) as ts", "event_id as seq", "concat('aviation:', user_id) as id", "unix_seconds(cast(ts as timestamp)) - (event_id % 7) * 600 as t",
         "cast((event_id * 7919) % 17000 as double) / 100D - 85D as lat", "cast((event_id * 104729) % 36000 as double) / 100D - 180D as lon", "if(event_id % 11 = 0, null, value * 30) as alt",

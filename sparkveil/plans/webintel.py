@@ -178,6 +178,7 @@ def cert_names(spark, sf):
 def ranges(spark, sf):
     from ..operators.matching import dotted
 
-    n = b.networks(spark, sf).select(F.concat_ws("/", dotted("lo"), "prefix_len").alias("cidr"), "provider", "region")
-    lines = n.groupBy("region").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("cidr").alias("ip_prefix"), F.concat(F.lit("r"), "region").alias("region"), F.col("provider").alias("service"))).alias("prefixes"))).alias("raw"))
+    page = F.expr("cast(substring_index(provider, '#', -1) as long) div 500")  # a published document lists 500 ranges at most
+    n = b.networks(spark, sf).select(F.concat_ws("/", dotted("lo"), "prefix_len").alias("cidr"), "provider", "region", page.alias("page"))
+    lines = n.groupBy("region", "page").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("cidr").alias("ip_prefix"), F.concat(F.lit("r"), "region").alias("region"), F.col("provider").alias("service"))).alias("prefixes"))).alias("raw"))
     return w.mapped(lines, "prefixes array<struct<ip_prefix string, region string, service string>>", "r.prefixes", {"network": "x.ip_prefix", "provider": "x.service", "region": "x.region"})

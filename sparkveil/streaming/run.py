@@ -19,10 +19,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the given folder as a stream of its files."""
+#: Bytes of input files in one batch where a state function gathers the rows of a key.
+BATCH_BYTES = 1 << 30
+
+
+def stream_of(spark: SparkSession, sf_dir: str, name: str, batch_bytes: int | None = None) -> DataFrame:
+    """A table of the given folder as a stream of its files, at most about ``batch_bytes`` of them (one file at least) a batch."""
     static = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.readStream.schema(static.schema).parquet(f"{sf_dir}/{name}.parquet*")
+    reader = spark.readStream.schema(static.schema)
+    if batch_bytes:
+        reader = reader.option("maxBytesPerTrigger", batch_bytes)
+    return reader.parquet(f"{sf_dir}/{name}.parquet*")
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:

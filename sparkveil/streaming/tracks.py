@@ -1,7 +1,9 @@
 """Structured Streaming versions of the stateful operators.
 
 State is keyed by track, so it is spread over all tasks; each key keeps a few values only and goes after
-``IDLE`` without fixes (event-time timeout). Batches of one key are applied in order of arrival.
+``IDLE_MS`` without fixes (event-time timeout). Batches of one key are applied in order of arrival, the rows of a batch
+in order of ``seq``. Rows that the state already rules out go frame by frame; what is left of a track in one batch is
+bounded by the bytes that the source gives a batch (``run.stream_of``).
 """
 
 from __future__ import annotations
@@ -21,13 +23,23 @@ def _last_known(old, new):
     return old if new is None or new != new else new
 
 
+def _in_order(frames: Iterator[pd.DataFrame], least: float) -> pd.DataFrame:
+    """The rows of one batch with ``t`` of at least ``least``, by ``seq``."""
+    return pd.concat([f[f["t"] >= least] for f in frames]).sort_values("seq")
+
+
+def _expire_after(state: GroupState, t: int) -> None:
+    """Lets the state go ``IDLE_MS`` after event time ``t`` (seconds), or after the watermark if that is later."""
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), t * 1000, 0) + IDLE_MS)
+
+
 def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Newest-wins state of one track: older fixes than the newest never overwrite it."""
     if state.hasTimedOut:
         state.remove()
         return
     have = state.get if state.exists else None
-    rows = pd.concat(list(frames)).sort_values("seq")
+    rows = _in_order(frames, -float("inf") if have is None else have[0])
     for r in rows.itertuples(index=False):
         if have is not None and r.t < have[0]:
             continue
@@ -37,8 +49,7 @@ def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
     if have is None:
         return
     state.update(have)
-    if state.getCurrentWatermarkMs() > 0:
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + IDLE_MS)
+    _expire_after(state, have[0])
     yield pd.DataFrame([(key[0], *have)], columns=["id", "t", "lat", "lon", "alt", "name", "heading", "speed"])
 
 
@@ -50,25 +61,36 @@ def latest_tracks(fixes: DataFrame, lateness: str = "2 hours") -> DataFrame:
 
 
 def downsample(gap_s: int):
-    """State function that keeps fixes at least ``gap_s`` after the last kept one."""
+    """State function that keeps fixes at least ``gap_s`` after the last kept one.
+
+    A state goes only when the watermark is ``IDLE_MS`` past its last kept fix. With a gap below that, the next fix that
+    isn't late would be kept with or without the state.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("seq")
+        rows = _in_order(frames, -float("inf") if kept is None else kept + gap_s)
         keep = []
         for t in rows["t"]:
             ok = kept is None or t - kept >= gap_s
             kept = int(t) if ok else kept
             keep.append(ok)
+        if kept is None:
+            return
         state.update((kept,))
+        _expire_after(state, kept)
         yield rows[keep][["id", "seq", "t"]]
 
     return run
 
 
-def thinned(fixes: DataFrame, gap_s: int) -> DataFrame:
-    """Append stream of downsampled fixes."""
-    return fixes.groupBy("id").applyInPandasWithState(downsample(gap_s), "id string, seq long, t long", "kept long", "append", GroupStateTimeout.NoTimeout)
+def thinned(fixes: DataFrame, gap_s: int, lateness: str = "2 hours") -> DataFrame:
+    """Append stream of downsampled fixes from a stream of fixes with an event time ``ts``."""
+    keyed = fixes.withWatermark("ts", lateness).groupBy("id")
+    return keyed.applyInPandasWithState(downsample(gap_s), "id string, seq long, t long", "kept long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def distinct_keys(events: DataFrame, keys: list[str], lateness: str = "1 day") -> DataFrame:
