@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, edits, fingerprint, jaccard, langid, packing, quality, sharding, suffix
+from . import chat, decontam, edits, fingerprint, jaccard, langid, oracles, packing, quality, sharding, suffix
 from .common import held_out, table
 
 
@@ -105,4 +105,4 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
