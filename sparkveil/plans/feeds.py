@@ -12,8 +12,11 @@ _LAT, _LON = "cast((event_id * 7919) % 19000 as double) / 100::double - 95::doub
 
 
 def _positions(spark, sf):
-    e = b.load(spark, sf, "events")
-    return e.selectExpr("event_id", "unix_seconds(cast(ts as timestamp)) as t", "value", "user_id", "cast((event_id * 7919) % 19000 as double) / 100D - 95D as lat", "cast((event_id * 104729) % 36000 as double) / 100D - 180D as lon")
+    return positions_of(b.load(spark, sf, "events"))
+
+
+def positions_of(events):
+    return events.selectExpr("event_id", "unix_seconds(cast(ts as timestamp)) as t", "value", "user_id", "cast((event_id * 7919) % 19000 as double) / 100D - 95D as lat", "cast((event_id * 104729) % 36000 as double) / 100D - 180D as lon")
 
 
 def _quakes(spark, sf):
@@ -50,7 +53,11 @@ def fires(spark, sf):
     case when event_id % 4 > 0 then ((event_id * 37) % 360)::double when event_id % 6 > 0 then ((event_id * 7) % 360)::double + 0.5 end as heading, case when event_id % 10 = 0 then null else (event_id % 300)::double / 10 end as speed
     from (select *, {_LAT} as lat, {_LON} as lon from events) where event_id % 12 > 0 and abs(lat) <= 89.9""")
 def vessels(spark, sf):
-    p = _positions(spark, sf)
+    return f.vessels(reports_of(_positions(spark, sf)))[0]
+
+
+def reports_of(p):
+    """Position reports as JSON lines."""
     report = F.struct(
         F.col("lat").alias("Latitude"), F.col("lon").alias("Longitude"), F.expr("if(event_id % 6 = 0, 360D, cast((event_id * 7) % 360 as double) + 0.5D)").alias("Cog"),
         F.expr("if(event_id % 10 = 0, 102.3D, cast(event_id % 300 as double) / 10)").alias("Sog"), F.expr("if(event_id % 4 = 0, 511, cast((event_id * 37) % 360 as int))").alias("TrueHeading"),
@@ -59,7 +66,7 @@ def vessels(spark, sf):
         F.when(F.col("event_id") % 12 > 0, "PositionReport").otherwise("SafetyBroadcast").alias("MessageType"),
         F.struct((F.col("user_id") + 200_000_000).alias("MMSI"), F.concat(F.lit("SHIP "), "user_id", F.lit("@@@ ")).alias("ShipName")).alias("MetaData"), F.struct(report.alias("PositionReport")).alias("Message"),
     )
-    return f.vessels(p.select(F.to_json(message).alias("raw")))[0]
+    return p.select(F.to_json(message).alias("raw"))
 
 
 @query("a7_aircraft", f"""select 'aviation:' || printf('%06x', 4194304 + user_id) as key, 'aviation' as layer, epoch_us(ts) // 1000000 - event_id % 20 as t, lat, lon, case when event_id % 8 > 0 then round((event_id % 40000)::double * 0.3048::double, 1) end as alt,

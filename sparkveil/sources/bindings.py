@@ -102,7 +102,12 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entity emissions of collection runs: (seq, run, type, value, confidence, t, lat, lon, meta_key, meta_value)."""
-    return load(spark, sf_dir, "orders").selectExpr(
+    return emissions_of(load(spark, sf_dir, "orders"))
+
+
+def emissions_of(orders: DataFrame) -> DataFrame:
+    """The emissions of rows of ``orders``, which may be a stream."""
+    return orders.selectExpr(
         "o_orderkey as seq",
         "o_orderkey div 100 as run",
         "element_at(array('ip', 'domain', 'email', 'person'), cast(o_orderkey % 4 as int) + 1) as type",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,8 +33,9 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str, batch_bytes: int | No
     return reader.parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Everything that a stream gives for its present input, with the batch it came in.
+def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """Everything that a stream gives for its present input, with the batch it came in; ``each`` (of a batch and its
+    number) makes what is written of it.
 
     Each micro-batch writes a folder of its own, named by its number and overwritten if it is run again,
     so a restarted batch isn't counted twice.
@@ -42,7 +44,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        (each(batch, number) if each else batch).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
