@@ -5,9 +5,11 @@ its speaker marker and by a few features of the line. Markers are free-form: any
 that looks like a speaker's name (``Name:``, ``[name]``, ``### Name``, ``<name>``, ``Name>``). Which of
 them mean what is learned: heads that open turns in known transcripts form the lexicon, one emission
 each; an unknown head counts as such, once or repeated within its transcript. Start, transition and
-emission tables are counted from transcripts whose turns are known, with ``SMOOTHING`` added to each count. Viterbi finds
-the likeliest states of a transcript's lines, a first-line state opens a turn, its marker is cut off (if
-it is in the lexicon or repeated, or if others of the transcript are) and the turns are rendered in one canonical form.
+emission tables are counted from transcripts whose turns are known; every row of a table gets one more
+count, shared out like the table's columns as a whole (each with ``SMOOTHING`` more), so that rarely seen
+states behave like the average. Viterbi finds the likeliest states of a transcript's lines, a first-line
+state opens a turn, its marker is cut off (if it is in the lexicon or repeated, or if other lines of the
+transcript have heads) and the turns are rendered in one canonical form.
 
 The lexicon is a trained table of at most ``LEXICON`` heads seen in ``SEEN`` transcripts or more; the names of
 one conversation's speakers are unknown heads in training too. ``transcripts``
@@ -164,11 +166,13 @@ def train(known: DataFrame) -> Model:
         yield pd.DataFrame({"cell": at.astype(np.int32), "n": flat[at]})
 
     rows = known.select("transcript", "states").mapInPandas(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    flat = np.full(sum(a * b for a, b in sizes), SMOOTHING)
+    flat = np.zeros(sum(a * b for a, b in sizes))
     flat[rows["cell"].to_numpy(np.int64)] += rows["n"].to_numpy(float)
     tables, at = [], 0
     for a, b in sizes:
         t = flat[at : at + a * b].reshape(a, b)
+        whole = t.sum(axis=0) + SMOOTHING
+        t = t + whole / whole.sum()
         tables.append(np.log(t / t.sum(axis=1, keepdims=True)))
         at += a * b
     return Model(tables[0][0], tables[1], tables[2:], lexicon)

@@ -7,7 +7,7 @@ SF = "/root/testdata/sf0.01"
 
 def test_markers_are_learned_from_data(spark):
     states = [2, 4, 5, 2, 4]
-    known = spark.createDataFrame([(f"@@ skip\nQuestioner> how {i}?\nOracle> so.\nmore\nQuestioner> why?\nOracle> thus.".split("\n", 1)[1], states) for i in range(30)], "transcript string, states array<int>")
+    known = spark.createDataFrame([(f"Questioner> how {i}?\nOracle> so.\nmore\nQuestioner> why?\nOracle> thus.", states) for i in range(30)], "transcript string, states array<int>")
     model = chat.train(known)
     assert set(model.lexicon) == {"questioner>", "oracle>"}
     assert model.turns("Questioner> a?\nb\nOracle> c.") == [("user", "a?\nb"), ("assistant", "c.")]
@@ -28,7 +28,9 @@ def test_speakers_with_names_of_their_own(spark):
     model = chat.train(raw.where("crc32(cast(cast(conv_id as string) as binary)) % 5 <> 0"))
     found = model.turns("Nora77: What now? Tell me.\nPaul3: Nothing at all.\nIt ends.\nNora77: Why so?\nPaul3: Because of that.")
     assert [t for _, t in found] == ["What now? Tell me.", "Nothing at all.\nIt ends.", "Why so?", "Because of that."]
-    assert [r for r, _ in found] == ["user", "assistant", "user", "assistant"]
+    own = [r for r in raw.where(f"pmod(crc32(cast(cast(conv_id as string) as binary)), {chat.STYLES + 2}) = {chat.STYLES}").collect()]
+    assert len(own) >= 8 and not any(h in r.transcript for r in own for h in ("User:", "Human:", "[user]"))
+    assert sum([role for role, _ in model.turns(r.transcript)] == r.roles for r in own) >= 0.85 * len(own)
 
 
 def test_every_turn_of_marked_transcripts(spark):
