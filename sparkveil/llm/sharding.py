@@ -7,6 +7,9 @@ Fisher-Yates) and lays the buckets of a shard one after another.
 The shard of a record follows the ``key`` law: rendezvous hashing, so the key and the number of
 shards decide, and one shard more takes rows only into itself.
 
+Rows of one key and payload agree in every hash, so from ``HOT_ROWS`` of them on they are dealt to buckets
+in portions of that many; within its portion such a row's place follows from its place in the input.
+
 Cases: a null key hashes like the string "null-key"; null or empty payloads are ordinary records;
 repeated rows are all kept and get slots of their own; an empty table gives an empty result;
 columns of the input named like an output column are replaced by the output column.
@@ -17,8 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, materialize
+
 SEED = 20240229
 BUCKET_BYTES = 4 << 20
+HOT_ROWS = 10_000
 
 
 def rendezvous(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -28,7 +34,7 @@ def rendezvous(key: Column, shards: int, seed: int = SEED) -> Column:
     return F.greatest(*scored)["s"] if shards > 1 else F.lit(0)
 
 
-def shard(docs: DataFrame, shards: int = 24, key: str = "doc_id", payload: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, key: str = "doc_id", payload: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """All records with ``size``, ``shard``, ``bucket``, ``slot`` and ``grown_shard``.
 
     Buckets hold ``bucket_bytes`` on average whatever the corpus weighs; their number follows
@@ -40,12 +46,17 @@ def shard(docs: DataFrame, shards: int = 24, key: str = "doc_id", payload: str =
     total = docs.agg(F.sum(size)).first()[0] or 0
     per_shard = max(1, -(-total // (shards * bucket_bytes)))
     spread = F.xxhash64(F.lit(seed + 1), F.coalesce(F.col(key).cast("string"), F.lit("null-key")), F.coalesce(F.xxhash64(payload), F.lit(0)))
+    spread_as = fresh(docs, "_spread")
+    hot = materialize(docs.select(spread.alias(spread_as)).groupBy(spread_as).agg(F.count("*").alias("_hot_rows")).where(f"_hot_rows >= {hot_rows}"), "shard-hot")
+    portion = F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("_hot_rows") / hot_rows).cast("long"))
+    dealt = F.when(F.col("_hot_rows").isNull(), F.col(spread_as)).otherwise(F.xxhash64(spread_as, portion))
     placed = docs.select(
         "*",
         size.alias("size"),
         rendezvous(F.col(key), shards, seed).alias("shard"),
         rendezvous(F.col(key), shards + 1, seed).alias("grown_shard"),
-    ).withColumn("bucket", F.col("shard") * F.lit(per_shard).cast("long") + F.pmod(spread, F.lit(per_shard).cast("long")))
+        spread.alias(spread_as),
+    ).join(hot, spread_as, "left").withColumn("bucket", F.col("shard") * F.lit(per_shard).cast("long") + F.pmod(dealt, F.lit(per_shard).cast("long"))).drop(spread_as, "_hot_rows")
     counts = placed.groupBy("shard", "bucket").count()
     ordered = counts.selectExpr("bucket", "sum(count) over (partition by shard order by bucket) - count as first_slot")
     record = F.struct(F.col(key).alias("_k"), F.xxhash64(payload).alias("_h"), *[F.col(c) for c in placed.columns if c != "bucket"])
