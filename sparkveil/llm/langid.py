@@ -7,8 +7,8 @@ logistic regression is fitted by follow-the-regularised-leader (FTRL-proximal) w
 penalties, which leaves most weights at exactly zero; a temperature fitted on a slice of the
 sample that the weights haven't seen then calibrates the probabilities.
 
-The weights are fitted on about ``PER_LANG`` documents of each language, chosen by a hash of
-their ids; document frequencies and language counts cover all training documents. Prediction
+The weights are fitted on about ``PER_LANG`` documents of each of the ``MAX_LANGS`` most frequent
+languages (ties by name), chosen by a hash of id and text, repeated rows once; document frequencies and language counts cover all training documents. Prediction
 reads whole texts.
 
 Cases: ``und`` with score 0.0 for a null text or one without a letter, and for all rows when
@@ -30,6 +30,7 @@ BITS = 15
 BUCKETS = 1 << BITS
 ORDERS = (1, 2, 3)
 PER_LANG = 800
+MAX_LANGS = 256
 
 
 def ngrams(text: str) -> np.ndarray:
@@ -107,17 +108,18 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
     """A model of ``labelled`` (doc_id, text, lang); rows without text or lang teach nothing."""
     usable = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    n_docs = sum(counts.values())
+    usable, n_docs = usable.where(F.col("lang").isin(langs)), sum(counts.values())
     idf = np.log((1 + n_docs) / (1 + document_frequencies(usable)))
-    draw = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1 << 30))
     limit = F.create_map(*[F.lit(x) for k in langs for x in (k, int(min(1.0, per_lang / counts[k]) * (1 << 30)))])
-    sample = usable.where(draw <= limit[F.col("lang")]).mapInPandas(_features, "doc_id long, lang string, at array<int>, share array<float>")
+    sample = usable.where(draw <= limit[F.col("lang")]).distinct().mapInPandas(_features, "doc_id long, lang string, at array<int>, share array<float>")
     rows = sample.toPandas()
-    rows = rows.sort_values("doc_id").sample(frac=1, random_state=11).reset_index(drop=True)
+    rows["held"] = [np.asarray(x, np.int32).tobytes() for x in rows["at"]]  # one order for rows of one id
+    rows = rows.sort_values(["doc_id", "lang", "held"]).sample(frac=1, random_state=11).reset_index(drop=True)
     at, share = [np.asarray(x, np.int64) for x in rows["at"]], [np.asarray(x, np.float32) for x in rows["share"]]
     y = rows["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy()
     cut = max(1, len(rows) * 4 // 5)

@@ -5,8 +5,8 @@ quantile histograms of the statistics with the logistic loss, then flattened int
 features, thresholds and leaf values; scoring moves all documents of a batch down all trees at
 once with numpy.
 
-The trees are fitted on at most about ``MAX_ROWS`` labelled documents, chosen by a hash of their
-ids. Scoring covers every whole text.
+The trees are fitted on at most about ``MAX_ROWS`` labelled documents, chosen by a hash of id
+and text, repeated rows once. Scoring covers every whole text.
 
 Cases: null and empty texts have the statistics of an empty text and are scored like any other;
 without labelled rows every score is 0.5, with one class only the scores are near that class;
@@ -144,15 +144,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Trees
     """Trees of ``labels.quality`` on the texts of ``docs``, from the rows outside the held-out fold."""
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     known = known.where(~held_out())
-    total = known.count()
+    total = docs.select("doc_id").join(known, "doc_id").count()
     keep = int(min(1.0, max_rows / max(1, total)) * (1 << 30))
-    chosen = known.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) <= keep)
+    chosen = docs.select("doc_id", "text").where(F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(1 << 30)) <= keep).join(known, "doc_id").distinct()
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": list(matrix(b["text"]))})
 
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").mapInPandas(featurise, "doc_id long, y int, x array<float>").toPandas()
+    rows = chosen.mapInPandas(featurise, "doc_id long, y int, x array<float>").toPandas()
     x = np.array(rows["x"].to_list(), np.float32).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, rows["doc_id"]))  # the same trees for any order of arrival
     return fit(x[order], rows["y"].to_numpy(float)[order])
