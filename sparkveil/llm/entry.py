@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, edits, fingerprint, jaccard, langid, oracles, packing, quality, sharding, suffix
+from . import chat, decontam, edits, fingerprint, jaccard, langid, oracles, packing, quality, sharding, suffix, toxicity
 from .common import held_out, table
 
 
@@ -92,6 +92,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_and_next(table(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every whole text, learned from the labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.withColumn("held_out", toxicity.held_out()), model).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_chat_format": op3_chat_format,
@@ -103,6 +110,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_fingerprints": op10_fingerprints,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLES: dict[str, str] = oracles.ORACLES
