@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, edits, fingerprint, jaccard, langid, oracles, packing, quality, sharding, suffix, toxicity
+from . import chat, decontam, edits, fingerprint, jaccard, langid, merkle, oracles, packing, quality, sharding, spelling, suffix, toxicity
 from .common import held_out, table
 
 
@@ -92,6 +92,16 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_and_next(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and the root that its (in part tampered) text leads to."""
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.lower_cased())
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, forms and roots of all words of the documents, some of which lose a character."""
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every whole text, learned from the labels outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -110,6 +120,8 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_fingerprints": op10_fingerprints,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_toxicity": op13_toxicity,
 }
 

@@ -41,4 +41,57 @@ SUFFIX = f"""with b as (select doc_id, hex(encode(coalesce(text, ''))) as h, oct
     select doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(k)) as kept_sha256, coalesce(passage_bytes, 0)::bigint as passage_bytes
     from b join kept using (doc_id) left join counts using (doc_id) left join passages using (doc_id)"""
 
-ORACLES = {"op7_decontamination": DECONTAMINATION, "op8_jaccard_join": JACCARD, "op9_suffix_dedup": SUFFIX}
+def _crc32(hex_digits: str) -> str:
+    """Unsigned CRC-32 of bytes given as hex, with ``crc`` (one row, t: its table of 256 remainders)."""
+    octets = f"list_transform(range(0, length({hex_digits}) // 2), lambda i: ('0x' || substr({hex_digits}, 2 * i + 1, 2))::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {octets}), lambda a, b: xor(a >> 8, crc.t[(xor(a, b) & 255) + 1])), 4294967295::bigint)"
+
+
+_CRC_TABLE = "crc as (select list_transform(range(256), lambda k: list_reduce(list_prepend(k, range(8)), lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384::bigint) else a >> 1 end)) as t)"
+
+
+def _merkle(levels: int = 8) -> str:
+    """Level by level: a node's digest, place, siblings to its left and right; enough levels for 16^8 rows of a source."""
+    part = lambda c: f"coalesce(octet_length(encode({c}::varchar))::varchar || ':' || {c}::varchar, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [
+        _CRC_TABLE,
+        f"d as (select doc_id, coalesce('1' || source, '0') as g, {leaf('text')} as leaf, case when {_crc32('hex(encode(doc_id::varchar))')} % 5 = 0 then {leaf(lower)} else {leaf('text')} end as t from documents, crc)",
+        "a0 as (select g, row_number() over (partition by g order by doc_id) - 1 as i, leaf as h, count(*) over (partition by g) as n from d)",
+    ]
+
+    def climb(name: str) -> None:
+        for k in range(levels):
+            w = "partition by g, i // 16 order by i rows between unbounded preceding and"
+            steps.append(f"{name}s{k} as (select g, i, h, n, coalesce(string_agg(h, '') over ({w} 1 preceding), '') as l, coalesce(string_agg(h, '') over (partition by g, i // 16 order by i rows between 1 following and unbounded following), '') as r from {name}{k})")
+            steps.append(f"{name}{k + 1} as (select g, i // 16 as i, case when any_value(n) = 1 then any_value(h) else sha256(string_agg(h, '' order by i)) end as h, (any_value(n) + 15) // 16 as n from {name}{k} group by g, i // 16)")
+
+    climb("a")
+    steps.append(f"b0 as (select '' as g, row_number() over (order by g) - 1 as i, h, count(*) over () as n, g as own from a{levels})")
+    climb("b")
+    joins = "".join(f" join as{k} on as{k}.g = x.g and as{k}.i = x.i // {16**k}" for k in range(levels))
+    joins += " join b0 on b0.own = x.g" + "".join(f" join bs{k} on bs{k}.i = b0.i // {16**k}" for k in range(levels)) + f" cross join b{levels} z"
+    proof = " || ".join([f"as{k}.l || as{k}.r" for k in range(levels)] + [f"bs{k}.l || bs{k}.r" for k in range(levels)])
+    sides = ", ".join(f"[{p}s{k}.l, {p}s{k}.r, (case when {p}s{k}.n = 1 then '' else 'x' end)]" for p in "ab" for k in range(levels))
+    steps.append("x as (select d.*, row_number() over (partition by g order by doc_id) - 1 as i from d)")
+    steps.append(
+        f"y as (select doc_id, leaf, b0.h as subroot, z.h as root, sha256({proof}) as proof_sha256, list_reduce(list_prepend([t, '', ''], [{sides}]), lambda p, q: [case when q[3] = '' then p[1] else sha256(q[1] || p[1] || q[2]) end, '', ''])[1] as folded_root from x{joins})"
+    )
+    return "with " + ", ".join(steps) + " select *, folded_root = root as verified from y"
+
+
+SPELLING = f"""with recursive {_CRC_TABLE},
+    runs as (select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+    hashed as (select *, {_crc32("x")} as h from (select doc_id, run, count(*) as c, hex(encode(doc_id::varchar || ':' || run)) as x from runs where length(run) >= 5 group by all), crc),
+    words as (select word, sum(c)::bigint as n from (select c, case when h % 97 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word from hashed) where length(word) >= 5 group by word having sum(c) >= 3),
+    less as (select word, i, substr(word, 1, i) || substr(word, i + 2) as rest from (select word, unnest(range(length(word)))::int as i from words)),
+    pairs as (select a.word as a, b.word as b from less a join less b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+        union select l.word, w.word from less l join words w on l.rest = w.word union select w.word, l.word from less l join words w on l.rest = w.word),
+    near as (select a as word, count(*) as n_near, arg_min(b, (-n, b)) as best, max(n) as best_n from pairs join words on b = word group by a),
+    forms as (select words.word, n, coalesce(n_near, 0) as n_near, case when best_n >= 2 * n then best end as form, case when best_n >= 2 * n then best_n end as form_n from words left join near using (word)),
+    way as (select word, form as stop from forms where form is not null union all select way.word, f.form from way join forms f on f.word = way.stop where f.form is not null),
+    ends as (select way.word, way.stop from way join forms f on f.word = way.stop where f.form is null)
+    select word, form, coalesce(stop, word) as root, n, n_near, form_n from forms left join ends using (word)"""
+
+ORACLES = {"op11_merkle_manifest": _merkle(), "op12_spelling_variants": SPELLING, "op7_decontamination": DECONTAMINATION, "op8_jaccard_join": JACCARD, "op9_suffix_dedup": SUFFIX}
