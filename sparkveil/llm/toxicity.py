@@ -23,26 +23,33 @@ kept, but for ``score`` and ``predicted``, which are replaced; an empty table gi
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ORDERS = (3, 4, 5)
-VOCABULARY = 8192
+from .common import drop_table, materialize
+
+ORDERS = (4, 6, 8)
+VOCABULARY = 8192  # places fit 16 bits
 VOCABULARY_ROWS = 1500
 MAX_ROWS = 5000
 THRESHOLD = 0.3
 FOLDS, HELD = 4, 2
 CHUNK = 1 << 20
 
-_GAP = re.compile(r"[\W_]+")
 _STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_FILTER_BITS = 22
+_FILTER_BITS = 18
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Which code points are letters or digits."""
+    return np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -52,22 +59,21 @@ def held_out(doc_id: str = "doc_id"):
 
 def hashes(text: str | None) -> Iterator[np.ndarray]:
     """64-bit hashes of all n-grams of the text, in pieces."""
-    plain = f" {_GAP.sub(' ', (text or '').lower()).strip()} "
-    if len(plain) < ORDERS[0]:
-        return
-    points = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    word = np.concatenate([[False], _letters()[points], [False]])
+    kept = np.concatenate([[True], word[1:] | word[:-1]])  # a gap's first character stands for all of it
+    kept[1] &= bool(word[1])
+    plain = np.where(word, np.concatenate([[32], points, [32]]), 32)[kept].astype(np.uint64)
     longest = ORDERS[-1]
-    for lo in range(0, len(points), CHUNK):
-        part = points[lo : lo + CHUNK + longest - 1].astype(np.uint64)
+    for lo in range(0, len(plain), CHUNK):
+        part = plain[lo : lo + CHUNK + longest - 1]
         h = part
         for n in range(2, longest + 1):
             if len(part) < n:
                 break
             h = h[:-1] * _STEP + part[n - 1 :]
             if n in ORDERS:
-                starts = h[: max(0, CHUNK)]
-                x = (starts + np.uint64(n)) * _SPREAD
-                yield x ^ (x >> np.uint64(32))
+                yield (h[:CHUNK] + np.uint64(n)) * _SPREAD
 
 
 def distinct(text: str | None) -> np.ndarray:
@@ -85,7 +91,7 @@ class Vocabulary:
 
     @staticmethod
     def _slot(h: np.ndarray) -> np.ndarray:
-        return (h & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)
+        return (h >> np.uint64(64 - _FILTER_BITS)).view(np.int64)
 
     def hits(self, text: str | None) -> np.ndarray:
         """Sorted places in the vocabulary of the n-grams that the text holds."""
@@ -95,7 +101,7 @@ class Vocabulary:
                 h = h[self.filter[self._slot(h)]]
                 at = np.minimum(np.searchsorted(self.grams, h), len(self.grams) - 1)
                 seen[at[self.grams[at] == h]] = True
-        return np.flatnonzero(seen).astype(np.int32)
+        return np.flatnonzero(seen).astype(np.int16)
 
 
 @dataclass
@@ -154,7 +160,7 @@ def with_hits(docs: DataFrame, grams: np.ndarray) -> DataFrame:
     """(doc_id, draw, hits) of every text: which n-grams of the vocabulary it holds."""
     words = docs.sparkSession.sparkContext.broadcast(grams)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<smallint>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = Vocabulary(words.value)
         for texts in batches:
@@ -182,7 +188,7 @@ def ratios(rows: DataFrame, n_grams: int) -> tuple[np.ndarray, np.ndarray]:
     return np.log(share[1] / share[0]), n[:, -1]
 
 
-def fit(hits: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, epochs: int = 40, batch: int = 128, rate: float = 0.05, l2: float = 1e-5) -> tuple[np.ndarray, float]:
+def fit(hits: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, epochs: int = 40, batch: int = 128, rate: float = 0.05, l2: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and intercept of the logistic regression, by AdaGrad over shuffled batches."""
     w, bias, grown, grown_b = np.zeros(len(ratio)), 0.0, np.full(len(ratio), 1e-6), 1e-6
     order = np.random.default_rng(17)
@@ -209,18 +215,19 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, vocabula
     if not sizes:
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
     grams = vocabulary(_drawn(docs, known, sizes, vocabulary_rows, 29))
-    rows = with_hits(docs, grams).join(known, "doc_id")
+    rows = materialize(with_hits(docs, grams).join(known, "doc_id"), "toxicity-rows")
     ratio, n = ratios(rows, len(grams))
     limit = [int(min(1.0, max_rows / max(1, k)) * (1 << 30)) for k in n]
     wanted = F.when(F.col("y") == 1, limit[1]).otherwise(limit[0])
     drawn = rows.where(F.col("draw") < wanted).select("doc_id", "y", "hits").distinct().toPandas()
-    drawn["held"] = [np.asarray(x, np.int32).tobytes() for x in drawn["hits"]]
+    drawn["held"] = [np.asarray(x, np.int16).tobytes() for x in drawn["hits"]]
     drawn = drawn.sort_values(["doc_id", "held"]).reset_index(drop=True)  # the same weights for any order of arrival
+    drop_table(rows)
     y = drawn["y"].to_numpy(float)
     if not 0 < n[1] < n.sum():
         p = (n[1] + 0.5) / (n.sum() + 1)
         return Model(grams, ratio, np.zeros(len(grams)), float(np.log(p / (1 - p))))
-    weight, bias = fit([np.asarray(x, np.int32) for x in drawn["hits"]], y, ratio)
+    weight, bias = fit([np.asarray(x, np.int16) for x in drawn["hits"]], y, ratio)
     moved = np.log((n[1] + 1) / (n[0] + 1)) - np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     return Model(grams, ratio, weight, bias + float(moved))
 
