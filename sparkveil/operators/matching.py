@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PREFIX_LENGTHS = tuple(range(8, 33))
 #: The public suffixes of more than one label that the splitter knows beside single labels.
 SUFFIXES = ("co.uk", "org.uk", "com.au", "co.jp", "com.br")
 #: Special-purpose IPv4 ranges (first address, prefix length).
@@ -39,9 +38,10 @@ def exact_matches(targets: DataFrame, indicators: DataFrame) -> DataFrame:
 def in_networks(addresses: DataFrame, networks: DataFrame) -> DataFrame:
     """All (address, network) pairs where the network holds the address: an equal join on the masked address.
 
-    Each address is probed once per prefix length (25 at most), whatever the number of networks is.
+    Each IPv4 address is probed once for each of the 33 prefix lengths, whatever the number of networks is.
+    ``operators.networks`` knows both families, probes only lengths that occur and spreads short prefixes.
     """
-    probes = addresses.withColumn("prefix_len", F.explode(F.array(*map(F.lit, PREFIX_LENGTHS)))).withColumn("lo", F.expr(masked("ip_num", "prefix_len")))
+    probes = addresses.withColumn("prefix_len", F.explode(F.expr("sequence(0, 32)"))).withColumn("lo", F.expr(masked("ip_num", "prefix_len")))
     return probes.join(networks, ["prefix_len", "lo"])
 
 
@@ -57,7 +57,7 @@ def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
     so each block is joined with its own enclosing prefixes of the other side."""
     left = a.select(*[F.col(c).alias(f"a_{c}") for c in ("provider", "prefix_len", "lo", "hi")])
     right = b.select(*[F.col(c).alias(f"b_{c}") for c in ("provider", "prefix_len", "lo", "hi")])
-    up = lambda df, side: df.withColumn("p", F.explode(F.expr(f"sequence(8, {side}_prefix_len)"))).withColumn("k", F.expr(masked(f"{side}_lo", "p")))
+    up = lambda df, side: df.withColumn("p", F.explode(F.expr(f"sequence(0, {side}_prefix_len)"))).withColumn("k", F.expr(masked(f"{side}_lo", "p")))
     inside = up(left, "a").join(right, (F.col("p") == F.col("b_prefix_len")) & (F.col("k") == F.col("b_lo")))
     outside = up(right, "b").join(left, (F.col("p") == F.col("a_prefix_len")) & (F.col("k") == F.col("a_lo")) & (F.col("a_prefix_len") < F.col("b_prefix_len")))
     columns = [*left.columns, *right.columns]

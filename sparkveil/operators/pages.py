@@ -15,23 +15,22 @@ PLACEHOLDERS = ("first", "last", "f", "l", "first_initial", "last_initial", "fir
 PDF_KEYS = {"Author": "person", "Creator": "software", "Producer": "software", "CreationDate": "timestamp", "ModDate": "timestamp"}
 
 
-def masked(body: Column, path: Column) -> Column:
-    """A body without what changes from answer to answer: its path, long tokens, long numbers, kinds of blanks."""
-    low = F.lower(body)
-    low = F.when(path != "", F.replace(low, F.lower(path), F.lit("<path>"))).otherwise(low)
-    low = F.regexp_replace(low, r"\b[0-9a-f]{16,}\b", "<token>")
-    return F.trim(F.regexp_replace(F.regexp_replace(low, r"\b\d{6,}\b", "<number>"), r"\s+", " "))
+def steady(body: Column, path: Column) -> Column:
+    """The words of a body that don't change from answer to answer: none that holds the path asked for or a long number or token."""
+    words = F.filter(F.split(F.lower(body), r"\s+"), lambda w: (w != "") & ~w.rlike("[0-9a-f]{16}|[0-9]{6}"))
+    asked = F.lower(F.coalesce(path, F.lit("")))
+    return F.array_join(F.filter(words, lambda w: (asked == "") | ~F.contains(w, asked)), " ")
 
 
 def exposed_files(answers: DataFrame, controls: DataFrame) -> DataFrame:
     """Answers (host, path, status, body) that hold a file: 200 or 206, not empty, unlike each of the host's
     answers for paths that don't exist (``controls``: host, path, body; a few a host). Hosts without controls give none.
 
-    Alike are equal masked bodies, and those of 80 characters or more whose edit distance over the first
+    Alike are bodies of equal steady words, and those of 80 characters or more whose edit distance over the first
     ``COMPARED`` characters is at most ``DIFFERENT`` of the longer one.
     """
-    never = controls.select("host", masked(F.col("body"), F.col("path")).alias("_c")).distinct()
-    asked = answers.where("status in (200, 206) and body <> ''").withColumn("_b", masked(F.col("body"), F.col("path")))
+    never = controls.select("host", steady(F.col("body"), F.col("path")).alias("_c")).distinct()
+    asked = answers.where("status in (200, 206) and body <> ''").withColumn("_b", steady(F.col("body"), F.col("path")))
     b, c = F.substring("_b", 1, COMPARED), F.substring("_c", 1, COMPARED)
     longer = F.greatest(F.length(b), F.length(c))
     distance = F.levenshtein(b, c, int(COMPARED * DIFFERENT))  # -1 above it

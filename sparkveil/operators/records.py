@@ -70,10 +70,11 @@ CALLING_CODES = {
     "1683": "CA", "1705": "CA", "1709": "CA", "1742": "CA", "1753": "CA", "1778": "CA", "1780": "CA", "1782": "CA", "1807": "CA", "1819": "CA", "1825": "CA", "1867": "CA",
     "1873": "CA", "1879": "CA", "1902": "CA", "1905": "CA", "1942": "CA",
 }
+#: Endings of linked files worth keeping.
 INTERESTING = (
     "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "odt", "ods", "odp", "rtf", "csv", "txt", "xml", "json", "sql", "bak", "log", "zip", "gz", "tgz", "tar", "rar", "7z", "exe", "msi", "dmg", "iso", "apk", "env", "config", "ini", "yml", "yaml", "epub", "mobi", "kml", "kmz",
 )
-#: Where a page names a person: (pattern, confidence), the surer place first, and what a name looks like.
+#: Where a page names a person: (pattern, confidence), the surer place first, and what a name looks like.
 PERSON_PLACES = (
     (r"""(?i)<meta[^>]+(?:name|property)=["'](?:author|article:author|dc\.creator|twitter:creator)["'][^>]+content=["']([^"']+)["']""", 0.75),
     (r"""(?i)<meta[^>]+content=["']([^"']+)["'][^>]+(?:name|property)=["'](?:author|article:author|dc\.creator)["']""", 0.75),

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.bindings import GROUPS, MIXED_BITS, OCTETS, mixed_text
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +33,17 @@ def _num(s: str) -> str:
     return f"((10 + ({s}) % 200) * 16777216 + ((({s}) * 7) % 256) * 65536 + ((({s}) * 13) % 256) * 256 + (({s}) * 29) % 254 + 1)"
 
 
+def _bits(k: str) -> str:
+    """The address of ``k`` as 128 bits from the left, worked out from its numbers and not from its text."""
+    four = " | ".join(f"(({x.format(k=k)})::uhugeint << {120 - 8 * i})" for i, x in enumerate(OCTETS))
+    six = " | ".join(f"(({x.format(k=k)})::uhugeint << {112 - 16 * i})" for i, x in enumerate(GROUPS))
+    return f"case when {k} % 101 = 0 then null when {k} % 3 = 0 then {four} else {six} end"
+
+
+def _mixed(k: str, table: str, columns: str) -> str:
+    return f"select {columns}, {mixed_text(k, 'lower(to_hex(({})::bigint))').replace('as string', 'as varchar')} as ip, case when {k} % 101 = 0 then null when {k} % 3 = 0 then 4 else 6 end as family, {_bits(k)} as num from {table}"
+
+
 _LAT = "cast(({k} * 7919{a}) % 17000 as double) / 100::double - 85::double"
 _LON = "cast(({k} * 104729{b}) % 36000 as double) / 100::double - 180::double"
 
@@ -48,6 +61,10 @@ BINDINGS = {
         from (select s_name as provider, (8 + s_suppkey % 17)::int as prefix_len, {_num('s_suppkey')} as n, s_nationkey as region from supplier)""",
     "blocks": f"""select provider, prefix_len, n - n % (1::bigint << (32 - prefix_len)) as lo, n - n % (1::bigint << (32 - prefix_len)) + (1::bigint << (32 - prefix_len)) - 1 as hi
         from (select 'block' || c_custkey as provider, (10 + c_custkey % 15)::int as prefix_len, {_num('c_custkey')} as n from customer)""",
+    "mixed_addresses": _mixed("c_custkey", "customer", "c_custkey as target"),
+    "mixed_networks": f"""select *, lo + case when prefix_len = 0 then 340282366920938463463374607431768211455::uhugeint else (1::uhugeint << (128 - prefix_len)::uhugeint) - 1 end as hi from
+        (select provider, ip || '/' || prefix_len as cidr, region, family, prefix_len::int as prefix_len, case when prefix_len = 0 then 0::uhugeint else (num >> (128 - prefix_len)::uhugeint) << (128 - prefix_len)::uhugeint end as lo
+        from (select *, {MIXED_BITS.format(k="s_suppkey").replace("/ 40)", "// 40)")} as prefix_len from ({_mixed("s_suppkey", "supplier", "s_suppkey, s_name as provider, s_nationkey as region")})) where num is not null)""",
     "page_hosts": "select page_id, url, lower(regexp_extract(url, '//([^/:?#]+)', 1)) as host from pages",
     "indicators": f"""select distinct * from (select 'host' as kind, lower(regexp_extract(url, '//([^/:?#]+)', 1)) as key, 'hosts' as list from pages where page_id % 10 = 0
         union all select 'url', url, 'urls' from pages where page_id % 7 = 0 union all select 'ip', {_ip('c_custkey')}, 'addresses' from customer where c_custkey % 3 = 0)""",

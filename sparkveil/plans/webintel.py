@@ -52,12 +52,21 @@ def certificates(spark, sf):
     return w.certificates(certs, 1_705_000_000).select("page_id", "host", F.array_join("issues", ",").alias("issues"))
 
 
-@query("c15_takeovers", sql("""select page_id, host, case when page_id % 6 = 2 then 0.9::double else 0.95::double end as confidence from page_hosts where page_id % 6 in (0, 1, 2)""", "page_hosts"))
+_SERVICES = {  # a name at the service, what its page says, and whether a missing name is enough
+    0: ("x{}.github.io", "There isn''t a GitHub Pages site here.", False), 1: ("b{}.s3.amazonaws.com", "<Code>NoSuchBucket</Code>", False), 2: ("a{}.herokuapp.com", "", True),
+    3: ("f{}.global.ssl.fastly.net", "Fastly error: unknown domain: x", False), 4: ("r{}.bitbucket.io", "", True), 5: ("s{}.myshopify.com", "Sorry, this shop is currently unavailable.", False), 6: ("docs{}.readthedocs.io", "", True),
+}
+
+
+def _case(values: dict, other: str) -> str:
+    return "case page_id % 9 " + " ".join(f"when {k} then {v}" for k, v in values.items()) + f" else {other} end"
+
+
+@query("c15_takeovers", sql("""select page_id, host, case when page_id % 9 in (2, 4, 6) then 0.9::double else 0.95::double end as confidence from page_hosts where page_id % 9 <= 6 and page_id % 4 > 0""", "page_hosts"))
 def takeovers(spark, sf):
-    names = b.page_hosts(spark, sf).selectExpr(
-        "page_id", "host", "concat('x', page_id, '.', case page_id % 6 when 0 then 'pages.example-host.io' when 1 then 'bucket.example-store.com' when 2 then 'app.example-cloud.net' when 3 then 'pages.example-host.io' else 'safe.test' end) as cname",
-        "page_id % 6 in (2, 4) as missing", "case page_id % 6 when 0 then 'oh: There isn''t a site here' when 1 then '<Code>NoSuchBucket</Code>' else 'hello' end as body",
-    )
+    cname = _case({k: "concat('" + n.replace("{}", "', page_id, '") + "')" for k, (n, _, _) in _SERVICES.items()}, "concat('x', page_id, '.safe.test')")
+    body = _case({k: f"'{t}'" for k, (_, t, _) in _SERVICES.items() if t}, "'<Code>NoSuchBucket</Code>'")
+    names = b.page_hosts(spark, sf).selectExpr("page_id", "host", f"{cname} as cname", "page_id % 4 > 0 and page_id % 9 in (2, 4, 6, 7) as missing", f"if(page_id % 4 = 0, 'hello', {body}) as body")
     return w.takeovers(names).select("page_id", "host", "confidence")
 
 
@@ -104,22 +113,51 @@ def marked(spark, sf):
     return b.load(spark, sf, "pages").select("page_id", F.concat("html", tail).alias("html"))
 
 
-_IDS = " union all ".join(f"select page_id, '{k}' as provider, unnest(regexp_extract_all(html, '{p}')) as id from marked" for k, p in w.ANALYTICS.items())
+#: What the queries of identifiers, profiles and products append to a page, for both dialects: pieces of text, or expressions of page_id.
+_SIGNS = (
+    "<p>UA-12345", "page_id", "-1 GTM-ABC", "page_id % 10", "Z G-TAG", "100 + page_id % 900", " pub-1234567890", "100000 + page_id % 1000", " AW-", "100000000 + page_id", "<script>hjid:", "10000 + page_id",
+    ", ym(", "1000000 + page_id", ', x) ttq.load("CODEABCDEFGHIJK', "page_id % 7", '")</script><a href="https://github.com/User', "page_id", '">me</a> <a href="https://x.com/Ann', "page_id",
+    '"> <a href="https://www.instagram.com/Pic.', "page_id", '"> <a href="https://t.me/tg_', "page_id", '"> <a href="https://www.linkedin.com/in/Li-', "page_id", '"> <a href="https://www.youtube.com/@Tube', "page_id",
+    '"> <i src="https://cdn.example.com/jquery-3.', "page_id % 7", '.1.js"></i> /wp-content/ WordPress 6.', "page_id % 9", " /_next/static/ /sites/default/files cdn.shopify.com /_nuxt/app",
+)
+
+
+def _written(text: str) -> str:
+    """The pieces joined, as an expression; ``text`` is the dialect's type of strings."""
+    return " || ".join(f"cast({x} as {text})" if "page_id" in x else f"'{x}'" for x in _SIGNS)
+
 
+def signed(spark, sf):
+    return b.load(spark, sf, "pages").selectExpr("page_id", f"html || {_written('string')} as html")
 
-@query("d6_analytics_ids", f"with {_MARKED}, i as ({_IDS}) select distinct * from i")
+
+_SIGNED = f"signed as (select page_id, html, html || {_written('varchar')} as whole from pages)"
+#: Written for these pages alone, apart from the operators' patterns.
+_OWN_IDS = {"ga": "UA-[0-9]+-[0-9]+", "gtm": "GTM-[A-Z0-9]+", "ga4": "G-TAG[0-9]+", "adsense": "pub-[0-9]+", "ads": "AW-[0-9]+", "hotjar": "hjid:([0-9]+)", "yandex_metrika": "ym.([0-9]+),", "tiktok_pixel": "CODE[A-K0-9]+"}
+_OWN_USERS = {"github": "github.com/([A-Za-z0-9]+)", "twitter": "/x.com/([A-Za-z0-9]+)", "instagram": "instagram.com/([A-Za-z0-9.]+)", "telegram": "t.me/([a-z0-9_]+)", "linkedin": "linkedin.com/in/([A-Za-z0-9-]+)", "youtube": "youtube.com/@([A-Za-z0-9]+)"}
+
+
+def _each(name: str, value: str, patterns: dict, wrap: str = "{}") -> str:
+    one = lambda k, p: f"select distinct page_id, '{k}' as {name}, {wrap.format(f'unnest(regexp_extract_all(whole, {chr(39)}{p}{chr(39)}, {int(chr(40) in p)}))')} as {value} from signed"
+    return " union all ".join(one(k, p) for k, p in patterns.items())
+
+
+@query("d6_analytics_ids", f"with {_SIGNED} {_each('provider', 'id', _OWN_IDS)}")
 def analytics(spark, sf):
-    return w.analytics_ids(marked(spark, sf))
+    return w.analytics_ids(signed(spark, sf))
 
 
-@query("d7_profiles", f"with {_MARKED} select distinct page_id, 'github' as site, lower(unnest(regexp_extract_all(html, '{w.PROFILES['github']}', 1))) as username from marked")
+@query("d7_profiles", f"with {_SIGNED} {_each('site', 'username', _OWN_USERS, 'lower({})')}")
 def profiles(spark, sf):
-    return w.profiles(marked(spark, sf), "page_id", "html")
+    return w.profiles(signed(spark, sf), "page_id", "html")
 
 
-@query("d9_frameworks", f"with {_MARKED} select page_id, 'jQuery' as product, nullif(regexp_extract(html, '{w.FRAMEWORKS['jQuery']}', 1), '') as version from marked where regexp_matches(html, '{w.FRAMEWORKS['jQuery']}') union all select page_id, 'Bootstrap', nullif(regexp_extract(html, '{w.FRAMEWORKS['Bootstrap']}', 1), '') from marked where regexp_matches(html, '{w.FRAMEWORKS['Bootstrap']}') union all select page_id, 'WordPress', null from marked where contains(html, 'wp-content/') union all select page_id, 'React', null from marked where contains(html, 'data-reactroot')")
+@query("d9_frameworks", f"""with {_SIGNED}, p as (select page_id, html, unnest(['WordPress', 'jQuery', 'Next.js', 'Drupal', 'Shopify', 'Nuxt.js']) as product, unnest(['6.' || page_id % 9, null, null, null, null, null]) as told from signed),
+    own as (select distinct page_id, case m when 'data-reactroot' then 'React' else 'Bootstrap' end as product, html from (select page_id, html, unnest(regexp_extract_all(html, 'data-reactroot|bootstrap')) as m from signed))
+    select page_id, product, case when product = 'jQuery' then nullif(regexp_extract(html || 'jquery-3.' || page_id % 7 || '.1.js', 'jquery[.-]?([0-9.]*)', 1), '') else told end as version from p
+    union all select page_id, product, case when product = 'Bootstrap' then nullif(regexp_extract(html, 'bootstrap[.-]?([0-9.]*)', 1), '') end from own""")
 def frameworks(spark, sf):
-    return w.frameworks(marked(spark, sf))
+    return w.frameworks(signed(spark, sf))
 
 
 @query("d15_sub_resources", f"""with {_MARKED}, r as (select page_id, 'script' as kind, unnest(regexp_extract_all(html, '<script[^>]*\\ssrc="([^"]*)"', 1)) as target from marked union all select page_id, 'image', unnest(regexp_extract_all(html, '<img[^>]*\\ssrc="([^"]*)"', 1)) from marked
@@ -134,10 +172,17 @@ def rules(spark, sf):
     return w.blocked(w.sub_resources(marked(spark, sf)), listed)
 
 
-@query("d8_error_strings", """select doc_id, case doc_id % 3 when 0 then 'python' when 1 then 'php' else 'sql' end as kind, case doc_id % 3 when 0 then 'Traceback (most recent call last)' when 1 then 'Fatal error: Call to undefined' else 'SQL syntax near x' end as message from documents""")
+_FAULTS = (  # kind, what a text ends with, the message it holds
+    ("python", "Traceback (most recent call last):", ""), ("php", "Fatal error: Call to x() in /a.php", ""), ("sql", "You have an error in your SQL syntax", ""), ("oracle", "ORA-00942: no table", "ORA-00942"), ("postgresql", "PostgreSQL query failed", ""),
+    ("sqlite", "sqlite3.OperationalError", ""), ("odbc", "ODBC Driver", ""), ("ruby", "(NoMethodError)", ""), ("php", "Warning: mysql_query() in /a.php on line 3", "Warning: mysql_query() in /a.php"), ("asp.net", "Server Error in '/' Application", ""),
+)
+_PICK = "[" + ", ".join("'{}'" for _ in _FAULTS) + "][(doc_id % 10)::int + 1]"
+
+
+@query("d8_error_strings", f"""select doc_id, {_PICK.format(*[k for k, _, _ in _FAULTS])} as kind, {_PICK.format(*[(m or t).replace("'", "''") for _, t, m in _FAULTS])} as message from documents""")
 def errors(spark, sf):
-    d = b.load(spark, sf, "documents").selectExpr("doc_id", "concat(text, '\n', case doc_id % 3 when 0 then 'Traceback (most recent call last)' when 1 then 'Fatal error: Call to undefined' else 'SQL syntax near x' end, '\n') as text")
-    return w.error_strings(d, "doc_id", "text")
+    ends = ", ".join('"' + t + '"' for _, t, _ in _FAULTS)
+    return w.error_strings(b.load(spark, sf, "documents").selectExpr("doc_id", f"concat(text, '\n', element_at(array({ends}), cast(doc_id % 10 as int) + 1), '\n') as text"), "doc_id", "text")
 
 
 @query("a21_whois_fields", sql("""select 'd' || page_id || '.' || host as domain, unnest(['registrar', 'name server', 'country']) as key, unnest(['Reg ' || page_id % 5, 'ns1.' || host || ';ns2.' || host, 'US']) as values from page_hosts""", "page_hosts"))

@@ -72,6 +72,41 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select("provider", "prefix_len", lo.alias("lo"), (lo + size - 1).alias("hi"))
 
 
+#: Expressions of an integer ``k``: the octets of its IPv4 address, and the groups of its IPv6 address (global, local, mapped and multicast ones).
+OCTETS = ("({k} * 37) % 256", "({k} * 7) % 256", "({k} * 13) % 256", "({k} * 29) % 254 + 1")
+GROUPS = (
+    "case {k} % 8 when 0 then 8193 when 1 then 10752 when 2 then 9728 when 3 then 65152 when 4 then 64768 when 5 then 100 when 6 then 0 else 65282 end",
+    "case when {k} % 5 = 0 or {k} % 16 = 6 then 0 else ({k} * 7) % 65536 end", "case when {k} % 4 = 0 then ({k} * 11) % 65536 else 0 end", "0", "0",
+    "case when {k} % 16 = 6 then 65535 else 0 end", "({k} * 13) % 65536", "({k} * 29) % 65536",
+)
+
+
+def mixed_text(k: str, to_hex: str) -> str:
+    """Expression, in Spark's and DuckDB's SQL, of the address of ``k`` as text: dotted, whole or shortened groups, capitals, or none at all."""
+    o, g = [f"({x.format(k=k)})" for x in OCTETS], [f"({x.format(k=k)})" for x in GROUPS]
+    h = [to_hex.format(x) for x in g]
+    tail = f"concat('::ffff:', cast(floor({g[6]} / 256) as int), '.', {g[6]} % 256, '.', cast(floor({g[7]} / 256) as int), '.', {g[7]} % 256)"
+    short = f"case when {k} % 16 = 6 then {tail} else concat({h[0]}, ':', {h[1]}, ':', {h[2]}, '::', {h[6]}, ':', {h[7]}) end"
+    six = f"case when {k} % 3 = 1 then concat_ws(':', {', '.join(h)}) else {short} end"
+    four = f"concat_ws('.', {', '.join(f'cast({x} as string)' for x in o)})"
+    return f"case when {k} % 101 = 0 then 'unknown' when {k} % 3 = 0 then {four} when {k} % 7 = 0 then upper({six}) else {six} end"
+
+
+def mixed_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seen addresses of both families, one per customer: (target, ip); a few can't be read."""
+    return load(spark, sf_dir, "customer").selectExpr("c_custkey as target", f"{mixed_text('c_custkey', 'lower(hex({}))')} as ip")
+
+
+#: Prefix lengths of the suppliers' networks: few short ones, all lengths above.
+MIXED_BITS = "case when {k} % 40 = 0 then ({k} / 40) % 8 when {k} % 3 = 0 then 8 + {k} % 25 when {k} % 40 = 1 then ({k} / 40) % 16 else 16 + ({k} * 5) % 113 end"
+
+
+def mixed_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published networks of both families, one per supplier: (provider, cidr, region); free bits may be set."""
+    bits = MIXED_BITS.format(k="s_suppkey").replace("/ 40)", "div 40)")
+    return load(spark, sf_dir, "supplier").selectExpr("s_name as provider", f"concat({mixed_text('s_suppkey', 'lower(hex({}))')}, '/', {bits}) as cidr", "s_nationkey as region")
+
+
 def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, url, host) of the saved pages."""
     return load(spark, sf_dir, "pages").selectExpr("page_id", "url", "lower(regexp_extract(url, '//([^/:?#]+)', 1)) as host")

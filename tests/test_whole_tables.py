@@ -46,7 +46,7 @@ def test_error_strings(spark):
     messages = [
         ("postgresql", "ERROR:  syntax error at or near"), ("oracle", "ORA-00942"), ("sql server", "Unclosed quotation mark after"), ("sqlite", "sqlite3.OperationalError"), ("odbc", "ODBC Driver"),
         ("asp.net", "Server Error in '/' Application"), ("ruby", "(NoMethodError)"), ("node.js", "at run (/app/x.js:1:2)"), ("java", "java.lang.NullPointerException"), ("path", "/var/www/site"),
-        ("config", "API_KEY="), ("php", "Notice: x in /a.php"), ("php", "Stack trace: #0 "), ("python", "Traceback (most recent call last)"), ("sql", "You have an error in your SQL syntax"), ("java", "at a.B.c(B.java:3)"),
+        ("config", "API_KEY="), ("php", "Notice: x in /a.php"), ("php", "Stack trace: #0 "), ("python", "Traceback (most recent call last):"), ("sql", "You have an error in your SQL syntax"), ("java", "at a.B.c(B.java:3)"),
     ]
     df = pages(spark, *[m for _, m in messages], "Warning: mysql_query() in /var/www/a.php on line 3")
     got = {(r.page_id, r.kind) for r in webintel.error_strings(df, "page_id", "html").collect()}
