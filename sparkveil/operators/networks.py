@@ -170,16 +170,20 @@ def first_members(addresses: DataFrame, networks: DataFrame, most: int = 50, sal
     return placed.select("provider", "target", "ip", "place")
 
 
-def digits() -> Column:
-    """The 32 hex digits of hi and lo."""
-    return F.lower(F.concat(F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0")))
+def digits(a: Column | None = None) -> Column:
+    """The 32 hex digits of hi and lo, of the columns or of an ``address``."""
+    hi, lo = (F.col("hi"), F.col("lo")) if a is None else (a["hi"], a["lo"])
+    return F.lower(F.concat(F.lpad(F.hex(hi), 16, "0"), F.lpad(F.hex(lo), 16, "0")))
 
 
-def canonical() -> Column:
-    """The shortest written form of (family, hi, lo): dotted, or groups with the first longest run of zeros left out."""
-    octet = lambda k: F.conv(F.substring(digits(), 2 * k + 1, 2), 16, 10)
-    dotted = F.concat_ws(".", *map(octet, range(4)))
-    groups = [F.regexp_replace(F.substring(digits(), 4 * k + 1, 4), "^0{1,3}", "") for k in range(8)]
+def canonical(a: Column | None = None) -> Column:
+    """The shortest written form of an address: dotted, or groups with the first longest run of zeros left out."""
+    family = F.col("family") if a is None else a["family"]
+
+    def of(d: Column) -> Column:
+        dotted = F.concat_ws(".", *[F.conv(F.substring(d, 2 * k + 1, 2), 16, 10) for k in range(4)])
+        groups = [F.regexp_replace(F.substring(d, 4 * k + 1, 4), "^0{1,3}", "") for k in range(8)]
+        return F.when(family == 4, dotted).when(family == 6, _let(F.concat_ws(":", *groups), shortened))
 
     def shortened(t: Column) -> Column:
         out = F.when(t == "0:0:0:0:0:0:0:0", "::")
@@ -189,7 +193,7 @@ def canonical() -> Column:
             out = out.when(t.rlike(run), F.concat(F.get(sides, 0), F.lit("::"), F.get(sides, 1)))
         return out.otherwise(t)
 
-    return F.when(F.col("family") == 4, dotted).when(F.col("family") == 6, _let(F.concat_ws(":", *groups), shortened))
+    return _let(digits(a), of)
 
 
 def reverse_name() -> Column:
