@@ -10,6 +10,7 @@ TLDS = ("com", "net", "org", "info", "biz", "co", "io", "app", "dev", "xyz", "on
 SUBDOMAINS = ("www", "mail", "vpn", "dev", "api", "admin")
 SERVICES = ("_sip._tcp", "_ldap._tcp", "_xmpp-server._tcp", "_kerberos._udp")
 BACKUPS = (".bak", ".old", "~", ".zip", ".tar.gz")
+#: Glyphs that look alike, and neighbours of keys.
 HOMOGLYPHS = {
     "0": ("o",), "1": ("l", "i"), "2": ("z",), "5": ("s",), "6": ("b",), "8": ("b",), "9": ("g", "q"), "b": ("d", "lb", "6"), "c": ("e",), "d": ("b", "cl", "dl"), "e": ("c",), "g": ("q", "9"),
     "h": ("lh",), "i": ("1", "l"), "l": ("1", "i"), "m": ("n", "nn", "rn"), "n": ("m", "r"), "o": ("0",), "q": ("g", "9"), "s": ("5",), "u": ("v",), "v": ("u",), "w": ("vv",), "z": ("2",),

@@ -16,29 +16,9 @@ PRECISION = (("exact", 0, 0.0, True), ("rooftop", 1, 15.0, True), ("street", 2,
 SOURCE_RANK = {"adsb": 0, "mlat": 1, "tisb": 2, "other": 3}
 
 
-def merged_aircraft(fixes: DataFrame) -> DataFrame:
-    """One row per aircraft: a fix replaces the one before if it is more than a second newer, or within a second
-    from a better source; fields that it lacks keep their last value; flags are united.
-
-    The rule isn't associative, so fixes are folded in order of arrival within a track and hour; hours of one
-    track are bounded by the rate of fixes.
-    """
-    rank = F.coalesce(*[F.when(F.col("source") == s, r) for s, r in SOURCE_RANK.items()], F.lit(9))
-    row = F.struct("seq", "t", rank.alias("rank"), "lat", "lon", "name", "flags")
-    gathered = fixes.groupBy("id", (F.col("t") / 3600).cast("long").alias("hour")).agg(F.array_sort(F.collect_list(row)).alias("rs"))
-
-    def step(a: Column, x: Column) -> Column:
-        take = (x["t"] > a["t"] + 1) | ((F.abs(x["t"] - a["t"]) <= 1) & (x["rank"] < a["rank"]))
-        pick = lambda c: F.when(take, x[c]).otherwise(a[c]).alias(c)
-        name = F.when(take, F.coalesce(x["name"], a["name"])).otherwise(F.coalesce(a["name"], x["name"]))
-        return F.struct(pick("seq"), pick("t"), pick("rank"), pick("lat"), pick("lon"), name.alias("name"), a["flags"].bitwiseOR(x["flags"]).alias("flags"))
-
-    folded = F.aggregate(F.slice("rs", F.lit(2), F.greatest(F.size("rs") - 1, F.lit(1))), F.get("rs", F.lit(0)), step)
-    return gathered.select("id", "hour", folded.alias("a")).select("id", "hour", "a.seq", "a.t", "a.lat", "a.lon", "a.name", "a.flags")
-
-
 def merged_tracks(fixes: DataFrame) -> DataFrame:
-    """The rule of ``merged_aircraft`` over whole tracks: one row per aircraft, however long it is followed.
+    """One row per aircraft, however long it is followed: a fix replaces the one before if it is more than a second newer,
+    or within a second from a better source; fields that it lacks keep their last value; flags are united.
 
     Fixes stream through the fold sorted by track and arrival, one running fix at a time; a track is one task's
     work, but never held in memory.

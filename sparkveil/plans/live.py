@@ -40,7 +40,7 @@ def quality(spark, sf):
     return states.last_per_key(updates, ["type"], ["batch"]).drop("batch")
 
 
-@query("l14_stream_merge", ORACLES["f3_aircraft_merge_whole"])
+@query("l14_stream_merge", ORACLES["f3_aircraft_merge"])
 def merged(spark, sf):
     fixes = streams._fixes(spark, sf).selectExpr("*", "element_at(array('adsb', 'mlat', 'tisb', 'other'), cast(seq % 4 as int) + 1) as source", "shiftleft(1L, cast(seq % 5 as int)) as flags")
     return states.last_per_key(run.drain(live.merged(fixes), "update"), ["id"], ["batch"]).drop("batch")

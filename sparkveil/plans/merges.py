@@ -16,16 +16,7 @@ def flagged(spark, sf):
     return b.fixes(spark, sf).selectExpr("*", "element_at(array('adsb', 'mlat', 'tisb', 'other'), cast(seq % 4 as int) + 1) as source", "shiftleft(1L, cast(seq % 5 as int)) as flags")
 
 
-@query("f3_aircraft_merge", sql("""with r as (select *, seq % 4 as rank, t // 3600 as hour, (1 << (seq % 5)::int)::bigint as flags, row_number() over (partition by id, t // 3600 order by seq) as n from fixes),
-    w as (select id, hour, n, seq, t, rank, lat, lon, name, flags from r where n = 1 union all
-    select r.id, r.hour, r.n, case when k then r.seq else w.seq end, case when k then r.t else w.t end, case when k then r.rank else w.rank end, case when k then r.lat else w.lat end, case when k then r.lon else w.lon end,
-    case when k then coalesce(r.name, w.name) else coalesce(w.name, r.name) end, w.flags | r.flags from w join r on r.id = w.id and r.hour = w.hour and r.n = w.n + 1, lateral (select r.t > w.t + 1 or (abs(r.t - w.t) <= 1 and r.rank < w.rank) as k))
-    select id, hour, seq, t, lat, lon, name, flags from w qualify row_number() over (partition by id, hour order by n desc) = 1""", "fixes").replace("with ", "with recursive ", 1))
-def aircraft(spark, sf):
-    return m.merged_aircraft(flagged(spark, sf))
-
-
-@query("f3_aircraft_merge_whole", sql("""with r as (select *, seq % 4 as rank, (1 << (seq % 5)::int)::bigint as flags, row_number() over (partition by id order by seq) as n from fixes),
+@query("f3_aircraft_merge", sql("""with r as (select *, seq % 4 as rank, (1 << (seq % 5)::int)::bigint as flags, row_number() over (partition by id order by seq) as n from fixes),
     w as (select id, n, seq, t, rank, lat, lon, name, flags from r where n = 1 union all
     select r.id, r.n, case when k then r.seq else w.seq end, case when k then r.t else w.t end, case when k then r.rank else w.rank end, case when k then r.lat else w.lat end, case when k then r.lon else w.lon end,
     case when k then coalesce(r.name, w.name) else coalesce(w.name, r.name) end, w.flags | r.flags from w join r on r.id = w.id and r.n = w.n + 1, lateral (select r.t > w.t + 1 or (abs(r.t - w.t) <= 1 and r.rank < w.rank) as k))

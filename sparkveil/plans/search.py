@@ -86,40 +86,35 @@ def domains(spark, sf):
     return b.load(spark, sf, "part").selectExpr("concat('brand', lower(replace(substr(p_brand, 7), '#', '')), '.com') as domain").distinct()
 
 
-#: The suffixes, glyphs, bits and fuzzers that the SQL of the queries names; the queries ``_whole`` use all.
-_SQL_TABLES = (
-    ("com", "net", "org", "info", "io", "co"), {"o": ("0",), "l": ("1",), "i": ("1",), "e": ("3",), "a": ("4",)}, 3,
-    ("tld-swap", "addition", "omission", "transposition", "repetition", "homoglyph", "bitsquatting", "hyphenation", "vowel-swap"),
-)
-
-
-@query("g1_typosquats", f"""with {_DOMAINS}, n as (select domain, split_part(domain, '.', 1) as n from d), spots as (select domain, n, unnest(range(1, len(n) + 1)) as i from n), c as (
-    select domain, 0 as r, 'tld-swap' as fuzzer, n || '.' || unnest(['com', 'net', 'org', 'info', 'io', 'co']) as candidate from n
-    union all select domain, 1, 'addition', n || chr(97 + unnest(range(26))::int) || '.com' from n
-    union all select domain, 2, 'omission', substr(n, 1, i - 1) || substr(n, i + 1) || '.com' from spots
-    union all select domain, 3, 'transposition', substr(n, 1, i - 1) || substr(n, i + 1, 1) || substr(n, i, 1) || substr(n, i + 2) || '.com' from spots where i < len(n)
-    union all select domain, 4, 'repetition', substr(n, 1, i) || substr(n, i) || '.com' from spots
-    union all select domain, 5, 'homoglyph', substr(n, 1, i - 1) || case substr(n, i, 1) when 'o' then '0' when 'l' then '1' when 'i' then '1' when 'e' then '3' when 'a' then '4' end || substr(n, i + 1) || '.com' from spots where substr(n, i, 1) in ('o', 'l', 'i', 'e', 'a')
-    union all select domain, 6, 'bitsquatting', substr(n, 1, i - 1) || chr(xor(ascii(substr(n, i, 1)), v)) || substr(n, i + 1) || '.com' from spots, (select unnest([1, 2, 4]) as v)
-    union all select domain, 7, 'hyphenation', substr(n, 1, i) || '-' || substr(n, i + 1) || '.com' from spots where i < len(n)
-    union all select domain, 8, 'vowel-swap', substr(n, 1, i - 1) || v || substr(n, i + 1) || '.com' from spots, (select unnest(['a', 'e', 'i', 'o', 'u']) as v) where substr(n, i, 1) in ('a', 'e', 'i', 'o', 'u'))
-    select domain, candidate, arg_min(fuzzer, r) as fuzzer from c where candidate <> domain and regexp_matches(candidate, '^[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?(?:\\.[a-z]{{2,}})+$') group by all""")
+#: The tables of the look-alikes as the SQL has them: suffixes, neighbours on the keyboard, like-looking glyphs.
+_SUFFIXES = "com net org info biz co io app dev xyz online site shop store us uk eu de cn ru top live cc me"
+_KEYS = "1:2q 2:1qw3 3:2we4 4:3er5 5:4rt6 6:5ty7 7:6yu8 8:7ui9 9:8io0 0:9op q:12wa w:3qeasd2 e:4wrsdf3 r:5etdfg4 t:6ryfgh5 y:7tughj6 u:8yihjk7 i:9uojkl8 o:0ipkl9 p:lo0 a:qwsz s:edxzaw d:rfcxse f:tgvcdr g:yhbvft h:ujnbgy j:ikmnhu k:olmji l:kop z:asx x:zsdc c:xdfv v:cfgb b:vghn n:bhjm m:njk"
+_GLYPHS = "0:o 1:l,i 2:z 5:s 6:b 8:b 9:g,q b:d,lb,6 c:e d:b,cl,dl e:c g:q,9 h:lh i:1,l l:1,i m:n,nn,rn n:m,r o:0 q:g,9 s:5 u:v v:u w:vv z:2"
+#: Candidates (domain, candidate, fuzzer) of the domains in ``d``, by joins of each letter's place with the tables.
+_SQUATS = f"""n as (select domain, split_part(domain, '.', 1) as n, substr(domain, instr(domain, '.') + 1) as tld from d),
+    spots as (select *, substr(n, 1, i - 1) as pre, substr(n, i, 1) as x, substr(n, i + 1) as post from (select *, unnest(range(1, len(n) + 1)) as i from n)),
+    ks as (select split_part(e, ':', 1) as x, unnest(string_split(split_part(e, ':', 2), '')) as y from (select unnest(string_split('{_KEYS}', ' ')) as e)),
+    gs as (select split_part(e, ':', 1) as x, unnest(string_split(split_part(e, ':', 2), ',')) as y from (select unnest(string_split('{_GLYPHS}', ' ')) as e)),
+    bs as (select *, chr(xor(ascii(x), 1 << b)) as y from spots, (select unnest(range(7))::int as b)),
+    made as (select domain, 1 as r, 'addition' as fuzzer, n || chr(97 + unnest(range(26))::int) as label, tld from n
+    union all select domain, 0, 'tld-swap', n, unnest(string_split('{_SUFFIXES}', ' ')) from n
+    union all select domain, 2, 'omission', pre || post, tld from spots union all select domain, 3, 'transposition', pre || substr(post, 1, 1) || x || substr(post, 2), tld from spots where post <> ''
+    union all select domain, 4, 'repetition', pre || x || x || post, tld from spots union all select domain, 5, 'replacement', pre || y || post, tld from spots join ks using (x)
+    union all select domain, 6, 'insertion', pre || y || x || post, tld from spots join ks using (x) union all select domain, 7, 'homoglyph', pre || y || post, tld from spots join gs using (x)
+    union all select domain, 8, 'bitsquatting', pre || y || post, tld from bs where regexp_matches(y, '^[a-z0-9-]$') union all select domain, 9, 'hyphenation', pre || x || '-' || post, tld from spots where post <> ''
+    union all select domain, 10, 'subdomain', pre || x || '.' || post, tld from spots where post <> ''
+    union all select domain, 11, 'vowel-swap', pre || v || post, tld from spots, (select unnest(['a', 'e', 'i', 'o', 'u']) as v) where x in ('a', 'e', 'i', 'o', 'u')),
+    squats as (select domain, label || '.' || tld as candidate, arg_min(fuzzer, r) as fuzzer from made where label || '.' || tld <> domain
+    and list_bool_and(list_transform(string_split(label, '.'), lambda p: regexp_matches(p, '^[a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?$'))) group by 1, 2)"""
+
+
+@query("g1_typosquats", f"with {_DOMAINS}, {_SQUATS} select * from squats")
 def squats(spark, sf):
-    return g.typosquats(domains(spark, sf), *_SQL_TABLES)
-
-
-@query("g1_typosquats_whole")
-def all_squats(spark, sf):
     return g.typosquats(domains(spark, sf))
 
 
-@query("g2_tld_candidates", f"with {_DOMAINS} select domain, split_part(domain, '.', 1) || '.' || t as candidate from d, (select unnest(['net', 'org', 'info', 'io', 'co']) as t)")
+@query("g2_tld_candidates", f"with {_DOMAINS} select domain, split_part(domain, '.', 1) || '.' || t as candidate from d, (select unnest(string_split('{_SUFFIXES}', ' ')) as t) where split_part(domain, '.', 1) || '.' || t <> domain")
 def tlds(spark, sf):
-    return g.other_tlds(domains(spark, sf), _SQL_TABLES[0])
-
-
-@query("g2_tld_candidates_whole", f"with {_DOMAINS} select domain, split_part(domain, '.', 1) || '.' || t as candidate from d, (select unnest(string_split('com net org info biz co io app dev xyz online site shop store us uk eu de cn ru top live cc me', ' ')) as t) where split_part(domain, '.', 1) || '.' || t <> domain")
-def all_tlds(spark, sf):
     return g.other_tlds(domains(spark, sf))
 
 
@@ -144,16 +139,13 @@ def backups(spark, sf):
     return g.backup_urls(b.load(spark, sf, "pages"))
 
 
-@query("e18_lookalike_join", """with d as (select distinct array_to_string(list_slice(string_split(lower(regexp_extract(url, '//([^/:?#]+)', 1)), '.'), -2, -1), '.') as domain from pages),
-    t as (select a.domain, split_part(a.domain, '.', 1) || '.' || t as candidate from d a, (select unnest(['com', 'net', 'org', 'info', 'io', 'co']) as t)) select t.domain, candidate from t join d on candidate = d.domain where candidate <> t.domain""")
+@query("e18_lookalike_join", f"""with d as (select distinct array_to_string(list_slice(string_split(lower(regexp_extract(url, '//([^/:?#]+)', 1)), '.'), -2, -1), '.') as domain from pages
+    union select 'brand' || lower(replace(substr(p_brand, 7), '#', '')) || '.' || ['com', 'net', 'co'][(p_partkey % 3)::int + 1] from part), {_SQUATS}
+    select squats.domain, candidate, fuzzer from squats join d on candidate = d.domain""")
 def lookalikes(spark, sf):
-    seen = b.page_hosts(spark, sf).select(F.substring_index("host", ".", -2).alias("domain")).distinct()
-    return g.other_tlds(seen, _SQL_TABLES[0]).join(seen.withColumnRenamed("domain", "candidate"), "candidate", "left_semi").select("domain", "candidate")
-
-
-@query("e18_lookalike_join_whole")
-def all_lookalikes(spark, sf):
-    seen = b.page_hosts(spark, sf).select(F.substring_index("host", ".", -2).alias("domain")).distinct()
+    """Domains of pages and brands that are look-alikes of another one."""
+    brands = b.load(spark, sf, "part").selectExpr("concat('brand', lower(replace(substr(p_brand, 7), '#', '')), '.', element_at(array('com', 'net', 'co'), cast(p_partkey % 3 as int) + 1)) as domain")
+    seen = b.page_hosts(spark, sf).select(F.substring_index("host", ".", -2).alias("domain")).union(brands).distinct()
     return g.typosquats(seen).join(seen.withColumnRenamed("domain", "candidate"), "candidate", "left_semi").select("domain", "candidate", "fuzzer")
 
 

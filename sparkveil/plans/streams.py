@@ -33,13 +33,13 @@ def downsample(spark, sf):
 @query("l5_stream_distinct", "select distinct user_id, event_type as layer from events")
 def distinct(spark, sf):
     events = run.stream_of(spark, sf, "events").selectExpr("cast(ts as timestamp) as ts", "user_id", "event_type as layer")
-    return run.drain(tracks.distinct_keys(events, ["user_id", "layer"], "400 days")).select("user_id", "layer")
+    return run.drain(tracks.distinct_keys(events, ["user_id", "layer"])).select("user_id", "layer")
 
 
 @query("l7_stream_slots", "select epoch_us(ts) // 900000000 * 900 as slot, event_type as layer, count(*) as events from events group by 1, 2")
 def slots(spark, sf):
     events = run.stream_of(spark, sf, "events").selectExpr("cast(ts as timestamp) as ts", "event_type as layer")
-    updates = run.drain(tracks.slots(events, lateness="400 days"), "update").select(F.unix_seconds("window.start").alias("slot"), "layer", "events", "batch")
+    updates = run.drain(tracks.slots(events), "update").select(F.unix_seconds("window.start").alias("slot"), "layer", "events", "batch")
     return states.last_per_key(updates, ["slot", "layer"], ["batch"]).drop("batch")
 
 
