@@ -85,3 +85,26 @@ def account_exists(answers: DataFrame) -> DataFrame:
     sent_on = F.coalesce((F.col("error_url") != "") & (F.rtrim(F.col("final_url"), F.lit("/")) == F.rtrim(F.col("error_url"), F.lit("/"))), F.lit(False))
     told = F.when(F.col("style") == "message", ~missing).when(F.col("style") == "response_url", ~sent_on).otherwise(True)
     return answers.withColumn("account", F.coalesce(F.col("status").between(200, 299) & told, F.lit(False)))
+
+
+#: How sure a match with an entry of a feed is that says nothing itself, by kind.
+SURE = {"ip": 0.95, "url": 0.95, "host": 0.95, "hash": 0.98, "asn": 0.9, "network": 0.8}
+
+
+def feed_matches(targets: DataFrame, feed: DataFrame) -> DataFrame:
+    """(target, kind, value, list, category, note, confidence): targets (target, kind, value) that a feed lists.
+
+    ``feed`` has the columns of ``sources.list_source``. AS numbers match with or without letters before them; addresses
+    also match the feed's networks. Each entry of a list counts once; a feed's own confidence goes before the kind's.
+    """
+    from . import networks
+
+    listed = feed.where("reject is null").groupBy("list", "kind", "value").agg(F.min("category").alias("category"), F.min("note").alias("note"), F.max("confidence").alias("own"))
+    number = F.regexp_replace("value", "(?i)^asn?", "")
+    asked = targets.select("target", "kind", F.when(F.col("kind") == "asn", number).when(F.col("kind") == "hash", F.lower("value")).otherwise(F.col("value")).alias("value"))
+    exact = asked.join(listed.where("kind <> 'network'"), ["kind", "value"]).withColumn("sure", F.create_map(*[F.lit(x) for kv in SURE.items() for x in kv])[F.col("kind")])
+    nets = networks.parsed(listed.where("kind = 'network'").select("list", "category", "note", "own", F.col("value").alias("cidr")))
+    inside = networks.in_networks(networks.located(asked.where("kind = 'ip'"), "value"), nets)
+    near = inside.select("kind", "cidr", "target", "list", "category", "note", "own").withColumn("kind", F.lit("network")).withColumnRenamed("cidr", "value").withColumn("sure", F.lit(SURE["network"]))
+    both = exact.select("target", "kind", "value", "list", "category", "note", "own", "sure").unionByName(near.select("target", "kind", "value", "list", "category", "note", "own", "sure"))
+    return both.select("target", "kind", "value", "list", "category", "note", F.coalesce("own", "sure").alias("confidence"))
