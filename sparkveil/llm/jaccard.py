@@ -53,6 +53,7 @@ TOKEN = -1  # the level of rare tokens
 SPARE_PARTS = 16
 SINGLE = 99  # the level of single frequent tokens
 SIZE_STEP = 1.05
+SLICE = 200  # texts of an Arrow batch that a worker takes at a time
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -85,9 +86,11 @@ def count_sketch(texts: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = np.zeros(1 << bits, np.int64)
         for b in batches:
-            found = [shingles(t) >> np.uint64(64 - bits) for t in b["text"] if t]
-            if found:
-                out += np.bincount(np.concatenate(found).astype(np.int64), minlength=1 << bits)
+            for lo in range(0, len(b), SLICE):
+                found = [shingles(t) >> np.uint64(64 - bits) for t in b["text"].iloc[lo : lo + SLICE] if t]
+                if found:
+                    cells, n = np.unique(np.concatenate(found).astype(np.int64), return_counts=True)
+                    out[cells] += n
         yield _blocks(dict(enumerate(out.reshape(-1, block))))
 
     def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,15 +213,16 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, percent: int = PERCENT) -> Data
         names = ["class", "n", "k", "rare", "own", "keys", "levels", "counts", "spread"]
         none = (None, 0, 0, 0, 0, np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), None)
         for b in batches:
-            out = []
-            for t in b["text"]:
-                s = shingles(t)
-                if len(s):
-                    k, rare, own, keys, levels, counts = postings(s, ranks, percent)
-                    out.append((_signature(s), len(s), k, rare, own, keys.view(np.int64), levels, counts, spread(s)))
-                else:
-                    out.append(none)
-            yield pd.concat([b["doc_id"].astype("Int64").reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
+            for lo in range(0, len(b), SLICE):  # postings take several times the room of their texts
+                part, out = b.iloc[lo : lo + SLICE], []
+                for t in part["text"]:
+                    s = shingles(t)
+                    if len(s):
+                        k, rare, own, keys, levels, counts = postings(s, ranks, percent)
+                        out.append((_signature(s), len(s), k, rare, own, keys.view(np.int64), levels, counts, spread(s)))
+                    else:
+                        out.append(none)
+                yield pd.concat([part["doc_id"].astype("Int64").reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return ids.mapInPandas(run, "doc_id long, class binary, n long, k int, rare int, own int, keys array<long>, levels array<int>, counts array<int>, spread binary")
@@ -309,9 +313,11 @@ def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, percent: int
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:  # ids given twice: only the set of the class itself
-            sets = [shingles(t) for t in b["text"]]
-            kept = [_signature(s) == c for s, c in zip(sets, b["class"], strict=True)]
-            yield pd.DataFrame({"id": b["id"][kept], "tokens": [s.view(np.int64) for s, k in zip(sets, kept, strict=True) if k]})
+            for lo in range(0, len(b), SLICE):
+                part = b.iloc[lo : lo + SLICE]
+                sets = [shingles(t) for t in part["text"]]
+                kept = [_signature(s) == c for s, c in zip(sets, part["class"], strict=True)]
+                yield pd.DataFrame({"id": part["id"][kept], "tokens": [s.view(np.int64) for s, k in zip(sets, kept, strict=True) if k]})
 
     joined = near.join(wanted, near["rep"].eqNullSafe(wanted["rep"])).where("text is not null").select("id", "class", "text")
     sets = materialize(joined.mapInPandas(own, "id long, tokens array<long>").dropDuplicates(["id"]), "sets")
