@@ -73,3 +73,42 @@ def kinematics(fixes: DataFrame) -> DataFrame:
         "id", "seq", "t", d.alias("metres"), bearing_deg("last_lat", "last_lon", "lat", "lon").alias("bearing"),
         F.when(F.col("t") > F.col("last_t"), d / (F.col("t") - F.col("last_t"))).alias("speed_ms"),
     )
+
+
+def sidereal(seconds) -> Column:
+    """Greenwich mean sidereal time (IAU 1982) in radians, at Unix seconds of universal time."""
+    t = (_c(seconds) / 86_400 + 2_440_587.5 - 2_451_545.0) / 36_525.0
+    turned = 67_310.54841 + (876_600.0 * 3_600 + 8_640_184.812866) * t + 0.093104 * t * t - 6.2e-6 * t * t * t
+    return F.radians(F.pmod(turned, F.lit(86_400.0)) / 240.0)
+
+
+def earth_fixed(x, y, z, seconds) -> tuple[Column, Column, Column]:
+    """Earth-fixed metres of a place given in kilometres on the equinox of its date: turned by the sidereal time."""
+    angle = sidereal(seconds)
+    c, s = F.cos(angle), F.sin(angle)
+    return (_c(x) * c + _c(y) * s) * 1000, (_c(y) * c - _c(x) * s) * 1000, _c(z) * 1000
+
+
+#: Units along a tile's side, and units beyond its edge that a tile still shows.
+EXTENT, BUFFER = 4096, 64
+
+
+def on_tiles(points: DataFrame, zoom: int, extent: int = EXTENT, buffer: int = BUFFER) -> DataFrame:
+    """``points`` (lat, lon, ...) with tile_x, tile_y and the place within (px, py), once for each tile that shows them.
+
+    A point within ``buffer`` units of an edge is shown by the tiles on both sides; its place there is below 0 or beyond
+    ``extent``. Points without a place, and those beyond the latitudes of the map, are on no tile.
+    """
+    n = 1 << zoom
+    a = F.radians("lat")
+    x = (F.col("lon") + 180) / 360 * (n * extent)
+    y = (1 - F.log(F.tan(a) + 1 / F.cos(a)) / F.lit(3.141592653589793)) / 2 * (n * extent)
+    placed = points.where("lat between -85.05112878 and 85.05112878 and lon between -180 and 180").withColumn("_w", F.struct(x.alias("x"), y.alias("y")))
+
+    def tiles(v: str) -> Column:
+        first, last = (F.floor((F.col(v) + d) / extent).cast("int") for d in (-buffer, buffer))
+        return F.sequence(F.greatest(first, F.lit(0)), F.greatest(F.least(last, F.lit(n - 1)), F.greatest(first, F.lit(0))))
+
+    shown = placed.withColumn("tile_x", F.explode(tiles("_w.x"))).withColumn("tile_y", F.explode(tiles("_w.y")))
+    inside = lambda v, t: F.floor(F.col(f"_w.{v}") - F.col(t) * extent + 0.5).cast("int")
+    return shown.where(f"tile_x < {n} and tile_y < {n}").select(*points.columns, "tile_x", "tile_y", inside("x", "tile_x").alias("px"), inside("y", "tile_y").alias("py"))

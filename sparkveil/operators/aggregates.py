@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
@@ -64,10 +64,33 @@ def metric_summary(journal: DataFrame) -> DataFrame:
     return m.groupBy("module").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.min_by("value", F.struct("t", "seq")).alias("first"), F.max_by("value", F.struct("t", "seq")).alias("last"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-def segments(journal: DataFrame, starts: str) -> DataFrame:
+#: Seconds of a time slice of ordered scans: rows are scanned within their slice, and what goes on from slice to slice by a row a slice.
+SLICE_S = 3600
+
+
+def _slices(rows: DataFrame, slice_s: int, **carried: Column) -> tuple[DataFrame, DataFrame]:
+    """(``rows`` with ``_slice``, and a row for each module and slice with what it ``carried``)."""
+    cut = rows.withColumn("_slice", F.floor(F.col("t") / slice_s))
+    return cut, cut.groupBy("module", "_slice").agg(*[c.alias(name) for name, c in carried.items()])
+
+
+def _of_slice(cut: DataFrame, slices: DataFrame) -> DataFrame:
+    """``cut`` with its slices' columns; null modules meet."""
+    a, b = cut.alias("a"), slices.alias("b")
+    same = F.col("a.module").eqNullSafe(F.col("b.module")) & (F.col("a._slice") == F.col("b._slice"))
+    return a.join(b, same).select("a.*", *[F.col(f"b.{c}") for c in slices.columns if c not in ("module", "_slice")])
+
+
+_WITHIN, _ACROSS = "over (partition by module, _slice order by t, seq", "over (partition by module order by _slice"
+
+
+def segments(journal: DataFrame, starts: str, slice_s: int = SLICE_S) -> DataFrame:
     """Journal events with the number of the process run they belong to, by module."""
-    run = Window.partitionBy("module").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return journal.withColumn("segment", F.sum(F.expr(f"if({starts}, 1, 0)")).over(run))
+    marked = journal.withColumn("_start", F.expr(f"if({starts}, 1, 0)"))
+    cut, slices = _slices(marked, slice_s, _starts=F.sum("_start"))
+    before = slices.selectExpr("module", "_slice", f"sum(_starts) {_ACROSS}) - _starts as _before")
+    run = F.expr(f"_before + sum(_start) {_WITHIN} rows between unbounded preceding and current row)")
+    return _of_slice(cut, before).withColumn("segment", run).select(*journal.columns, "segment")
 
 
 def trends(rows: DataFrame, warm_up_s: int = 900, least: int = 3) -> DataFrame:
@@ -88,12 +111,19 @@ def normalised(message: str = "message"):
     return out
 
 
-def error_groups(journal: DataFrame, most: int = 400) -> DataFrame:
-    """Errors by module and normalised message; groups beyond ``most``, by count, share one overflow row."""
+def error_groups(journal: DataFrame, most: int = 400, parts: int = 32) -> DataFrame:
+    """Errors by module and normalised message; groups beyond ``most``, by count, share one overflow row.
+
+    Groups are ranked in parts first: what isn't among the first of its part isn't among the first of all.
+    """
     groups = journal.where("kind = 'poll.error'").groupBy("module", normalised().alias("message")).agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
-    ranked = groups.withColumn("place", F.row_number().over(Window.partitionBy("module").orderBy(F.col("n").desc(), "message")))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.col("n").desc(), "message"))
+    dealt = groups.withColumn("_part", F.pmod(F.xxhash64("message"), F.lit(parts))).withColumn("_first", rank("module", "_part") <= most)
+    ranked = dealt.where("_first").withColumn("place", rank("module"))
     label = F.when(F.col("place") <= most, F.col("message")).otherwise(F.lit("(other)"))
-    return ranked.groupBy("module", label.alias("message")).agg(F.sum("n").alias("n"), F.min("first_t").alias("first_t"), F.max("last_t").alias("last_t"))
+    columns = ["module", "message", "n", "first_t", "last_t"]
+    both = ranked.withColumn("message", label).select(columns).unionByName(dealt.where("not _first").withColumn("message", F.lit("(other)")).select(columns))
+    return both.groupBy("module", "message").agg(F.sum("n").alias("n"), F.min("first_t").alias("first_t"), F.max("last_t").alias("last_t"))
 
 
 def scorecard(journal: DataFrame) -> DataFrame:
@@ -105,25 +135,33 @@ def scorecard(journal: DataFrame) -> DataFrame:
     return base.select("module", "ok", "failed", "stored", share.alias("share"), verdict.alias("verdict"))
 
 
-def longest_gaps(journal: DataFrame, end: int) -> DataFrame:
+def longest_gaps(journal: DataFrame, end: int, slice_s: int = SLICE_S) -> DataFrame:
     """The longest time between successes of each feed, the open one up to ``end`` included."""
-    good = journal.where("kind = 'poll.ok'")
-    marks = good.select("module", "t", "seq").union(good.groupBy("module").agg(F.lit(end).cast("long").alias("t"), F.lit(2**62).alias("seq")))
-    gaps = marks.withColumn("gap", F.expr("t - lag(t) over (partition by module order by t, seq)")).where("gap is not null")
+    good = journal.where("kind = 'poll.ok' and t is not null").select("module", "t", "seq")
+    cut, slices = _slices(good, slice_s, first=F.min("t"), last=F.max("t"))
+    inside = cut.selectExpr("module", "t", f"t - lag(t) {_WITHIN}) as gap")
+    between = slices.selectExpr("module", "first as t", f"first - lag(last) {_ACROSS}) as gap")
+    open_ = slices.groupBy("module").agg(F.lit(end).cast("long").alias("t"), (F.lit(end) - F.max("last")).alias("gap"))
+    gaps = inside.union(between).union(open_.select("module", "t", "gap")).where("gap is not null")
     return gaps.groupBy("module").agg(F.max("gap").alias("gap"), F.max_by("t", F.struct("gap", F.col("t") * -1)).alias("until"))
 
 
-def stalls(journal: DataFrame) -> DataFrame:
+def stalls(journal: DataFrame, slice_s: int = SLICE_S) -> DataFrame:
     """Errors with the time of the next success of their feed; null while the stall is open."""
-    after = Window.partitionBy("module").orderBy("t", "seq").rowsBetween(1, Window.unboundedFollowing)
-    marked = journal.withColumn("recovered", F.min(F.when(F.col("kind") == "poll.ok", F.col("t"))).over(after))
+    ok = F.when(F.col("kind") == "poll.ok", F.col("t"))
+    cut, slices = _slices(journal.where("kind in ('poll.ok', 'poll.error')"), slice_s, ok=F.min(ok))
+    later = slices.selectExpr("module", "_slice", f"min(ok) {_ACROSS} rows between 1 following and unbounded following) as _later")
+    soon = F.expr(f"min(if(kind = 'poll.ok', t, null)) {_WITHIN} rows between 1 following and unbounded following)")
+    marked = _of_slice(cut, later).withColumn("recovered", F.coalesce(soon, "_later"))
     return marked.where("kind = 'poll.error'").select("module", "seq", "t", "recovered")
 
 
-def timeline(journal: DataFrame, head: int, tail: int) -> DataFrame:
+def timeline(journal: DataFrame, head: int, tail: int, slice_s: int = SLICE_S) -> DataFrame:
     """The first ``head`` and last ``tail`` events of each module."""
-    up, down = (Window.partitionBy("module").orderBy(*o) for o in ((F.col("t"), F.col("seq")), (F.col("t").desc(), F.col("seq").desc())))
-    return journal.withColumn("a", F.row_number().over(up)).withColumn("z", F.row_number().over(down)).where((F.col("a") <= head) | (F.col("z") <= tail)).drop("a", "z")
+    cut, slices = _slices(journal, slice_s, _n=F.count("*"))
+    placed = slices.selectExpr("module", "_slice", "_n", f"sum(_n) {_ACROSS}) - _n as _before", "sum(_n) over (partition by module) as _all").where(f"_before < {head} or _all - _before - _n < {tail}")
+    numbered = _of_slice(cut, placed).withColumn("_at", F.expr(f"_before + row_number() {_WITHIN})"))
+    return numbered.where((F.col("_at") <= head) | (F.col("_at") > F.col("_all") - tail)).select(*journal.columns)
 
 
 def tile_density(points: DataFrame, step: float = 5.0) -> DataFrame:
