@@ -29,7 +29,7 @@ def split_good(rows: DataFrame, good: Column, reason: Column, raw: str) -> tuple
 def earthquakes(raw: DataFrame, text: str = "raw") -> tuple[DataFrame, DataFrame]:
     """One GeoJSON feature a row: id, [lon, lat, depth km], properties mag, time (ms), place, ids."""
     schema = "id string, geometry struct<coordinates array<double>>, properties struct<mag double, time bigint, place string, ids string>"
-    rows = raw.withColumn("f", F.from_json(text, schema))
+    rows = raw.select("*", F.explode(F.array(F.from_json(text, schema))).alias("f"))  # parsed once, whatever reads it
     lon, lat, depth = (F.get("f.geometry.coordinates", F.lit(i)) for i in range(3))
     good = F.coalesce(F.col("f.id").isNotNull() & placed(lat, lon), F.lit(False))
     kept, rejects = split_good(rows, good, F.when(F.col("f.id").isNull(), "no id").otherwise("no position"), text)
@@ -54,7 +54,8 @@ def fires(raw: DataFrame, text: str = "raw") -> tuple[DataFrame, DataFrame]:
 def vessels(raw: DataFrame, text: str = "raw") -> tuple[DataFrame, DataFrame]:
     """Position reports as JSON lines; sentinel values become null, heading falls back to course."""
     schema = "MessageType string, MetaData struct<MMSI bigint, ShipName string>, Message struct<PositionReport struct<Latitude double, Longitude double, Cog double, Sog double, TrueHeading int>>"
-    rows = raw.withColumn("m", F.from_json(text, schema)).select("*", F.col("m.MetaData.MMSI").alias("mmsi"), "m.MessageType", "m.Message.PositionReport.*", F.rtrim(F.regexp_replace("m.MetaData.ShipName", "[@\\x00]+", " ")).alias("name"))
+    parsed = raw.select("*", F.explode(F.array(F.from_json(text, schema))).alias("m"))  # parsed once, whatever reads it
+    rows = parsed.select("*", F.col("m.MetaData.MMSI").alias("mmsi"), "m.MessageType", "m.Message.PositionReport.*", F.rtrim(F.regexp_replace("m.MetaData.ShipName", "[@\\x00]+", " ")).alias("name"))
     good = F.coalesce((F.col("MessageType") == "PositionReport") & F.col("mmsi").between(1, 999_999_999) & (F.abs("Latitude") <= 89.9) & (F.abs("Longitude") <= 180), F.lit(False))
     kept, rejects = split_good(rows, good, F.when(F.col("m.MessageType").isNull(), "malformed").otherwise("no position"), text)
     course = F.when(F.col("Cog") < 360, F.col("Cog"))

@@ -124,8 +124,15 @@ def truncated(df: DataFrame, order: list, limit: int) -> DataFrame:
     return rows.withColumn("more", F.count("*").over(Window.partitionBy()) > limit).orderBy(*order).limit(limit)
 
 
-def layer_deltas(writes: DataFrame, longest: int = 512) -> DataFrame:
-    """One message per (layer, write) with the changed features: of rows with one id the last wins field by field.
+#: Features in one message at most.
+MESSAGE_FEATURES = 500
+
+
+def layer_deltas(writes: DataFrame, longest: int = 512, most: int = MESSAGE_FEATURES, parts: int = 16) -> DataFrame:
+    """Messages of ``most`` changed features at most per (layer, batch): of rows with one id the last wins field by field.
+
+    Up to ``most`` features are one message; more are dealt to ``parts`` by their id and cut there, so that no task holds
+    or sorts all features of a layer.
 
     ``writes`` has batch, layer, id, seq and props (map of strings); values over ``longest`` characters are left out.
     """
@@ -134,4 +141,9 @@ def layer_deltas(writes: DataFrame, longest: int = 512) -> DataFrame:
     last = fields.groupBy("batch", "layer", "id", "k").agg(F.max_by("v", "seq").alias("v"))
     kept = F.filter(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["k"].isNotNull())
     features = last.groupBy("batch", "layer", "id").agg(F.map_from_entries(kept).alias("props"))
-    return features.groupBy("batch", "layer").agg(F.count("*").alias("features"), F.to_json(F.array_sort(F.collect_list(F.struct("id", F.to_json("props").alias("props"))))).alias("message"))
+    size = features.groupBy("batch", "layer").agg((F.count("*") > most).alias("_large"))
+    dealt = features.join(size, ["batch", "layer"]).withColumn("_part", F.when(F.col("_large"), F.pmod(F.xxhash64("id"), F.lit(parts))).otherwise(0))
+    place = F.row_number().over(Window.partitionBy("batch", "layer", "_part").orderBy("id"))
+    cut = dealt.withColumn("_piece", F.floor((place - 1) / most))
+    messages = cut.groupBy("batch", "layer", "_part", "_piece")
+    return messages.agg(F.count("*").alias("features"), F.to_json(F.array_sort(F.collect_list(F.struct("id", F.to_json("props").alias("props"))))).alias("message")).drop("_part", "_piece")

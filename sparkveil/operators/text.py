@@ -16,6 +16,8 @@ PATTERNS = {
     "eth": r"\b0x[0-9a-fA-F]{40}\b",
     "mac": r"\b(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}\b",
 }
+#: What every hit of a pattern holds.
+SIGNS = {"url": "://", "email": "@", "ip": ".", "cve": "CVE-", "eth": "0x", "mac": ":"}
 CARD = r"\b[0-9](?:[ -]?[0-9]){12,18}\b"
 COMPANY = r"((?:[A-Z][A-Za-z&]+ ){1,5})(Inc|Ltd|LLC|GmbH|Corp|PLC)\b"
 BASE64 = r"[A-Za-z0-9+/]{20,}={0,2}"
@@ -46,6 +48,8 @@ def scan(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     def tagged(kind: str) -> Column:
         hits = F.regexp_extract_all(F.col(text), F.lit(f"({PATTERNS[kind]})"), F.lit(1))
+        if kind in SIGNS:  # most texts lack what every hit has, and searching for that is cheap
+            hits = F.when(F.contains(text, F.lit(SIGNS[kind])), hits).otherwise(F.array().cast("array<string>"))
         return F.transform(hits, lambda x: F.struct(F.lit(kind).alias("type"), x.alias("raw")))
 
     arrays = [tagged(k) for k in TYPES]
