@@ -51,17 +51,31 @@ def merged_tracks(fixes: DataFrame) -> DataFrame:
 
 def tiers(readings: DataFrame, up: int = 10, hold: int = 7) -> DataFrame:
     """Final tier of each tile by hysteresis: promoted at once, demoted after two lower readings in a row; hot
-    stays hot from ``hold`` on. Folded over the readings (tile, at, n) of a tile in order."""
-    tier = lambda n, now: F.when((n >= up) | ((now == 2) & (n >= hold)), 2).when(n >= 1, 1).otherwise(0)
-    start = F.struct(F.lit(0).alias("tier"), F.lit(0).alias("low"))
+    stays hot from ``hold`` on.
 
-    def step(a: Column, x: Column) -> Column:
-        want = tier(x["n"], a["tier"])
-        low = F.when(want < a["tier"], a["low"] + 1).otherwise(0)
-        return F.struct(F.when(want > a["tier"], want).when(low >= 2, want).otherwise(a["tier"]).alias("tier"), F.when(low >= 2, 0).otherwise(low).alias("low"))
+    Readings (tile, at, n) stream through the fold sorted by tile and time, one running state at a time.
+    """
 
-    rows = readings.groupBy("tile").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("rs"))
-    return rows.select("tile", F.aggregate("rs", start, step)["tier"].alias("tier"), F.size("rs").alias("readings"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tile, tier, low, seen = None, 0, 0, 0
+        for b in batches:
+            out = []
+            for x in b.itertuples(index=False):
+                if seen and x.tile != tile:
+                    out.append((tile, tier, seen))
+                    tier, low, seen = 0, 0, 0
+                tile, seen = x.tile, seen + 1
+                want = 2 if x.n >= up or (tier == 2 and x.n >= hold) else int(x.n >= 1)
+                low = low + 1 if want < tier else 0
+                if want > tier or low >= 2:
+                    tier, low = want, 0
+            yield pd.DataFrame(out, columns=["tile", "tier", "readings"])
+        if seen:
+            yield pd.DataFrame([(tile, tier, seen)], columns=["tile", "tier", "readings"])
+
+    kind = readings.schema["tile"].dataType.simpleString()
+    rows = readings.where("tile is not null").select("tile", "at", "n").repartition("tile").sortWithinPartitions("tile", "at", "n")
+    return rows.mapInPandas(run, f"tile {kind}, tier int, readings int")
 
 
 def known_flags(fixes: DataFrame) -> DataFrame:

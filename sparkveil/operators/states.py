@@ -30,11 +30,14 @@ def revised(events: DataFrame, window_s: int = WEEK_S) -> DataFrame:
     stored = last_per_key(events, ["key", "t"], ["batch", "seq"])
     near = f"over (partition by key order by t range between {window_s} preceding and {window_s} following)"
     kept = stored.selectExpr("*", f"max(batch) {near} as newest").where("newest <= batch").drop("newest")
-    cuts = events.where("supersedes is not null").selectExpr("supersedes as key", "layer", "t as cut_t", "batch as cut_batch")
-    spans = cuts.groupBy("key", "layer").agg(F.collect_list(F.struct("cut_t", "cut_batch")).alias("cuts"))
-    joined = kept.join(spans, ["key", "layer"], "left")
-    gone = F.exists("cuts", lambda c: (F.abs(c["cut_t"] - F.col("t")) <= window_s) & (c["cut_batch"] > F.col("batch")))
-    return joined.where(~F.coalesce(gone, F.lit(False))).select(*events.columns)
+    width = F.lit(max(1, window_s))
+    cuts = events.where("supersedes is not null").groupBy(F.col("supersedes").alias("key"), "layer", F.col("t").alias("cut_t")).agg(F.max("batch").alias("cut_batch"))
+    # a cut stands in its own span of time and in the two beside it, so that a stored event meets it in its own
+    near_by = cuts.withColumn("_span", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("cut_t") / width) + d))).alias("c")
+    k = kept.withColumn("_span", F.floor(F.col("t") / width)).alias("k")
+    same = (F.col("k.key") == F.col("c.key")) & (F.col("k.layer") == F.col("c.layer")) & (F.col("k._span") == F.col("c._span"))
+    later = (F.abs(F.col("c.cut_t") - F.col("k.t")) <= window_s) & (F.col("c.cut_batch") > F.col("k.batch"))
+    return k.join(near_by, same & later, "left_anti").select(*events.columns)
 
 
 def record_setters(fixes: DataFrame) -> DataFrame:

@@ -59,14 +59,14 @@ def crawl(spark, sf):
 
 
 _SITES = "select s_suppkey as site, s_nationkey as nation, case s_suppkey % 3 when 0 then 'status_code' when 1 then 'message' else 'response_url' end as style, concat('https://site', s_suppkey, '.example/none/') as error_url from supplier"
-_ANSWERS = "select c_custkey as user, c_nationkey as nation, c_name as name, (200 + 101 * (c_custkey % 3) * (c_custkey % 2)) as status from customer"
+_ANSWERS = "select c_custkey as user, c_nationkey as nation, c_name as name, (200 + 101 * (c_custkey % 3) * (c_custkey % 2)) as status from customer where c_custkey % 100 = 0"  # the query set
 
 
 @query("c17_account_exists", f"""with s as ({_SITES}), a as ({_ANSWERS}), p as (select user, site, style, status, error_url, case when (user + site) % 4 = 0 then rtrim(error_url, '/') else concat('https://site', site, '.example/u/', user) end as final_url, case when (user * site) % 5 = 0 then 'Sorry: user not found' else name end as body from a join s using (nation))
     select user, site, case when status >= 300 then false when style = 'message' then not (contains(body, 'user not found') or contains(body, 'no such page')) when style = 'response_url' then rtrim(final_url, '/') <> rtrim(error_url, '/') else true end as account from p""")
 def accounts(spark, sf):
     sites = b.load(spark, sf, "supplier").selectExpr(*_SITES.removeprefix("select ").removesuffix(" from supplier").split(", ", 2)[:2], "case s_suppkey % 3 when 0 then 'status_code' when 1 then 'message' else 'response_url' end as style", "concat('https://site', s_suppkey, '.example/none/') as error_url", "array('user not found', 'no such page') as messages")
-    users = b.load(spark, sf, "customer").selectExpr("c_custkey as user", "c_nationkey as nation", "c_name as name", "200 + 101 * (c_custkey % 3) * (c_custkey % 2) as status")
+    users = b.load(spark, sf, "customer").where("c_custkey % 100 = 0").selectExpr("c_custkey as user", "c_nationkey as nation", "c_name as name", "200 + 101 * (c_custkey % 3) * (c_custkey % 2) as status")
     probes = users.join(sites, "nation").selectExpr("*", "if((user + site) % 4 = 0, rtrim('/', error_url), concat('https://site', site, '.example/u/', user)) as final_url", "if((user * site) % 5 = 0, 'Sorry: user not found', name) as body")
     return l.account_exists(probes).select("user", "site", "account")
 
