@@ -13,7 +13,9 @@ reads whole texts.
 
 Cases: ``und`` with score 0.0 for a null text or one without a letter, and for all rows when
 there is nothing to learn from; a single learned language is predicted with the score it gets
-(1.0); repeated rows are kept; an empty table gives an empty result.
+(1.0); ties between languages go to the first by name; repeated rows are kept; a text of any length takes room
+for its n-grams and one count a bucket; columns of any name are kept, but for ``lang_pred`` and ``score``, which are
+replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 BITS = 15
 BUCKETS = 1 << BITS
 ORDERS = (1, 2, 3)
@@ -61,7 +65,7 @@ class Model:
 
     def logits(self, text: str) -> np.ndarray:
         g = ngrams(text)
-        return self.bias + (self.table[g].mean(axis=0) if len(g) else 0)
+        return self.bias + (np.bincount(g, minlength=BUCKETS) @ self.table / len(g) if len(g) else 0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.langs or not has_letter(text):
@@ -173,5 +177,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn("_said", run(F.col(text))).select(*keep, "_said.lang_pred", "_said.score")
+    keep = [f"`{c}`" for c in docs.columns if c not in ("lang_pred", "score")]
+    said = fresh(docs, "said")
+    return docs.withColumn(said, run(F.col(text))).select(*keep, f"{said}.lang_pred", f"{said}.score")
