@@ -80,8 +80,8 @@ PERSON_PLACES = (
     (r"""(?i)<meta[^>]+content=["']([^"']+)["'][^>]+(?:name|property)=["'](?:author|article:author|dc\.creator)["']""", 0.75),
     (r"""(?i)"author"\s*:\s*(?:\{[^}]*?"name"\s*:\s*)?"([^"]+)\"""", 0.75),
     (r"""(?is)<a[^>]+rel=["']author["'][^>]*>(.*?)</a>""", 0.75),
-    (r"\b[Bb]y[:\s]+((?:[A-Z][A-Za-z'’.\-]*\s+){1,3}[A-Z][A-Za-z'’.\-]+)", 0.55),
 )
+BYLINE = r"\b[Bb]y[:\s]+((?:[A-Z][A-Za-z'’.\-]*\s+){1,3}[A-Z][A-Za-z'’.\-]+)"
 PERSON = r"^(?:[A-Z][A-Za-z'’\-]+|[A-Z]\.?)(?:\s+(?:[A-Z][A-Za-z'’\-]+|[A-Z]\.?)){1,3}$"
 NO_PERSONS = ("admin", "administrator", "editor", "staff", "team", "guest", "author", "unknown", "webmaster")
 
@@ -139,9 +139,12 @@ def phone_country(number: Column) -> Column:
     return F.coalesce(*[codes[F.substring(digits, 1, n)] for n in sorted({len(c) for c in CALLING_CODES}, reverse=True)])
 
 
-def persons(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Names of persons in author tags and bylines, once each; the surest place gives the confidence."""
-    places = F.array(*[F.struct(F.lit(rank).alias("rank"), F.lit(sure).alias("confidence"), F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1)).alias("names")) for rank, (p, sure) in enumerate(PERSON_PLACES)])
+def persons(df: DataFrame, key: str, text: str, byline: str = BYLINE) -> DataFrame:
+    """Names of persons in author tags and bylines, once each; the surest place gives the confidence.
+
+    The group of ``byline`` is the name that a byline gives, of two to four words unless told otherwise.
+    """
+    places = F.array(*[F.struct(F.lit(rank).alias("rank"), F.lit(sure).alias("confidence"), F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1)).alias("names")) for rank, (p, sure) in enumerate((*PERSON_PLACES, (byline, 0.55)))])
     rows = df.select(key, F.explode(places).alias("p")).select(key, "p.rank", "p.confidence", F.posexplode("p.names").alias("at", "name"))
     plain = F.regexp_replace(F.regexp_replace("name", "<[^>]*>", " "), r"\s+", " ")
     named = rows.withColumn("name", F.regexp_replace(plain, r"^[ .,\-@]+|[ .,\-@]+$", ""))

@@ -19,3 +19,8 @@ def _given(spark, tmp_path, name: str, rows: str):
 def test_catalogue_numbers_of_more_letters(spark, tmp_path, name):
     con = _given(spark, tmp_path, "events", "select i::bigint as event_id, i * 997 as user_id from range(241) t(i)")
     assert spark_rows(plans.QUERIES[name](spark, str(tmp_path))) == sql_rows(con, plans.ORACLES[name])
+
+
+def test_bylines_of_repeated_words(spark, tmp_path):
+    con = _given(spark, tmp_path, "documents", "select i as doc_id, ['By By By By. re', 'by Ann Lee Moe and By Bo Ek', 'no', null][i + 1] as text from range(4) t(i)")
+    assert spark_rows(plans.QUERIES["d5_person_names"](spark, str(tmp_path))) == sql_rows(con, plans.ORACLES["d5_person_names"])
