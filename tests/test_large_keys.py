@@ -24,3 +24,8 @@ def test_catalogue_numbers_of_more_letters(spark, tmp_path, name):
 def test_bylines_of_repeated_words(spark, tmp_path):
     con = _given(spark, tmp_path, "documents", "select i as doc_id, ['By By By By. re', 'by Ann Lee Moe and By Bo Ek', 'no', null][i + 1] as text from range(4) t(i)")
     assert spark_rows(plans.QUERIES["d5_person_names"](spark, str(tmp_path))) == sql_rows(con, plans.ORACLES["d5_person_names"])
+
+
+def test_analytics_ids_of_long_accounts(spark, tmp_path):
+    con = _given(spark, tmp_path, "pages", "select 99990 + i as page_id, 'http://a.example/' as url, '<p>' as html from range(20) t(i)")
+    assert spark_rows(plans.QUERIES["d6_analytics_ids"](spark, str(tmp_path))) == sql_rows(con, plans.ORACLES["d6_analytics_ids"])
