@@ -29,3 +29,11 @@ def test_bylines_of_repeated_words(spark, tmp_path):
 def test_analytics_ids_of_long_accounts(spark, tmp_path):
     con = _given(spark, tmp_path, "pages", "select 99990 + i as page_id, 'http://a.example/' as url, '<p>' as html from range(20) t(i)")
     assert spark_rows(plans.QUERIES["d6_analytics_ids"](spark, str(tmp_path))) == sql_rows(con, plans.ORACLES["d6_analytics_ids"])
+
+
+def test_account_probes_of_every_user(spark, tmp_path):
+    con = _given(spark, tmp_path, "customer", "select i as c_custkey, (i % 2)::int as c_nationkey, 'C' || i as c_name from range(150) t(i)")
+    con.execute(f"copy (select i as s_suppkey, (i % 2)::int as s_nationkey from range(10) t(i)) to '{tmp_path}/supplier.parquet' (format parquet)")
+    con.execute(f"create view supplier as select * from '{tmp_path}/supplier.parquet'")
+    rows = spark_rows(plans.QUERIES["c17_account_exists"](spark, str(tmp_path)))
+    assert rows == sql_rows(con, plans.ORACLES["c17_account_exists"]) and len(rows[1]) == 150 * 5
