@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .networks import dealt
+
 #: The public suffixes of more than one label that the splitter knows beside single labels.
 SUFFIXES = ("co.uk", "org.uk", "com.au", "co.jp", "com.br")
 #: Special-purpose IPv4 ranges (first address, prefix length).
@@ -41,7 +43,7 @@ def in_networks(addresses: DataFrame, networks: DataFrame) -> DataFrame:
     Each IPv4 address is probed once for each of the 33 prefix lengths, whatever the number of networks is.
     ``operators.networks`` knows both families, probes only lengths that occur and spreads short prefixes.
     """
-    probes = addresses.withColumn("prefix_len", F.explode(F.expr("sequence(0, 32)"))).withColumn("lo", F.expr(masked("ip_num", "prefix_len")))
+    probes = dealt(addresses).withColumn("prefix_len", F.explode(F.expr("sequence(0, 32)"))).withColumn("lo", F.expr(masked("ip_num", "prefix_len")))
     return probes.join(networks, ["prefix_len", "lo"])
 
 
@@ -65,9 +67,17 @@ def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def first_members(addresses: DataFrame, networks: DataFrame, most: int = 50) -> DataFrame:
-    """The first ``most`` addresses, by address, of each network."""
-    order = Window.partitionBy("provider").orderBy("ip_num", "target")
-    return in_networks(addresses, networks).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("provider", "target", "ip", "place")
+    """The first ``most`` addresses, by address, of each provider's networks.
+
+    A network's first members are found once, however many providers have it; parts of its addresses are cut first.
+    """
+    key, order = ["prefix_len", "lo"], ["ip_num", "target"]
+    hits = in_networks(addresses, networks.select(*key).distinct()).withColumn("_salt", F.pmod(F.xxhash64("target", "ip"), F.lit(64)))
+    cut = lambda df, by: df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= most).drop("place")
+    first = cut(cut(hits, [*key, "_salt"]), key)
+    few = networks.select("provider", *key).join(first, key)
+    placed = few.withColumn("place", F.row_number().over(Window.partitionBy("provider").orderBy(*order))).where(F.col("place") <= most)
+    return placed.select("provider", "target", "ip", "place")
 
 
 def host_suffixes(df: DataFrame, host: str = "host") -> DataFrame:

@@ -104,11 +104,17 @@ def parsed(df: DataFrame, cidr: str = "cidr") -> DataFrame:
     return whole.select(*df.columns, *[F.when(F.col("_ok"), c).alias(k) for k, c in told.items()])
 
 
+def dealt(df: DataFrame, least: int = 96) -> DataFrame:
+    """``df`` in many parts, by target if it has one: a small file is few tasks, whose rows grow many times in a join."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), least)
+    return df.repartition(parts, "target") if "target" in df.columns else df.repartition(parts)
+
+
 def _probes(df: DataFrame, networks: DataFrame) -> DataFrame:
     """``df`` (family, hi, lo, ...) once for each prefix length that ``networks`` has of its family, with the key."""
     lengths = networks.where("prefix_len is not null").groupBy("family").agg(F.collect_set("prefix_len").alias("_lengths"))
     # two rows of at most 129 lengths
-    asked = df.join(F.broadcast(lengths), "family").withColumn("_bits", F.explode("_lengths"))
+    asked = dealt(df).join(F.broadcast(lengths), "family").withColumn("_bits", F.explode("_lengths"))
     hi, lo = masked(F.col("hi"), F.col("lo"), F.greatest(F.col("_bits"), F.lit(SPREAD)))
     return asked.withColumn("_hi", hi).withColumn("_lo", lo).drop("_lengths")
 
@@ -161,11 +167,18 @@ def by_number() -> list[Column]:
 def first_members(addresses: DataFrame, networks: DataFrame, most: int = 50, salts: int = 64) -> DataFrame:
     """The first ``most`` addresses, by number, of each provider's networks.
 
-    Parts of a provider's addresses are cut first, so that a network that holds most addresses isn't one task's.
+    A network's first members are found once, however many providers have it, and parts of its addresses are cut
+    first, so that a network that holds most addresses isn't one task's.
     """
-    hits = in_networks(addresses, networks).withColumn("_salt", F.pmod(F.xxhash64("target", "ip"), F.lit(salts)))
-    order = [*by_number(), F.col("target")]
-    few = hits.withColumn("_p", F.row_number().over(Window.partitionBy("provider", "_salt").orderBy(*order))).where(F.col("_p") <= most)
+    key = ["family", "prefix_len", "hi", "lo"]
+    each = networks.select(*key).distinct().withColumns({"_nhi": F.col("hi"), "_nlo": F.col("lo")})
+    hits = in_networks(addresses, each).withColumn("_salt", F.pmod(F.xxhash64("target", "ip"), F.lit(salts)))
+    order = [*by_number()[1:], F.col("target")]  # by number alone, whatever the family
+    own = ["family", "prefix_len", "_nhi", "_nlo"]
+    cut = lambda df, by: df.withColumn("_p", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_p") <= most)
+    first = cut(cut(hits, [*own, "_salt"]), own).select(*own, F.struct("hi", "lo", "target", "ip").alias("_a"))
+    named = networks.select("provider", *key).withColumnsRenamed({"hi": "_nhi", "lo": "_nlo"})
+    few = named.join(first, own).select("provider", "family", "_a.*")
     placed = few.withColumn("place", F.row_number().over(Window.partitionBy("provider").orderBy(*order))).where(F.col("place") <= most)
     return placed.select("provider", "target", "ip", "place")
 

@@ -3,8 +3,10 @@
 import duckdb
 import pytest
 from compare import spark_rows, sql_rows
+from pyspark.sql import functions as F
 
 from sparkveil import plans
+from sparkveil.operators import networks
 
 
 def _given(spark, tmp_path, name: str, rows: str):
@@ -37,3 +39,17 @@ def test_account_probes_of_every_user(spark, tmp_path):
     con.execute(f"create view supplier as select * from '{tmp_path}/supplier.parquet'")
     rows = spark_rows(plans.QUERIES["c17_account_exists"](spark, str(tmp_path)))
     assert rows == sql_rows(con, plans.ORACLES["c17_account_exists"]) and len(rows[1]) == 150 * 5
+
+
+def test_first_members_by_number_of_both_families(spark, tmp_path):
+    con = _given(spark, tmp_path, "supplier", "select i as s_suppkey, 'S' || i % 4 as s_name, 1::int as s_nationkey from range(200) t(i)")
+    con.execute(f"copy (select i as c_custkey from range(400) t(i)) to '{tmp_path}/customer.parquet' (format parquet)")
+    con.execute(f"create view customer as select * from '{tmp_path}/customer.parquet'")
+    assert spark_rows(plans.QUERIES["e3_members_both_families"](spark, str(tmp_path))) == sql_rows(con, plans.ORACLES["e3_members_both_families"])
+
+
+def test_addresses_of_one_file_are_many_tasks(spark):
+    addresses = networks.located(spark.range(1000).coalesce(1).selectExpr("id as target", "concat('10.0.', id % 256, '.1') as ip"))
+    listed = networks.parsed(spark.createDataFrame([("p", "10.0.0.0/8")], "provider string, cidr string"))
+    parts = networks.in_networks(addresses, listed).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in parts) < 500
