@@ -94,12 +94,19 @@ class KeptIndex:
         ``queries`` has qid, q, types and layers; arrays that aren't null and not empty let only these in.
         """
         asked = queries.select("qid", F.lower(F.trim("q")).alias("q"), "types", "layers")
+        # equal texts are tested once, equal searches ranked once
+        texts = asked.select(F.col("q").alias("qid"), "q").where("q is not null").distinct()
+        forms = asked.select("q", "types", "layers").distinct()
         docs = self.documents.current()
-        hits = self.candidates(queries).join(docs, "id").join(asked, "qid")
+        hits = self.candidates(texts).withColumnRenamed("qid", "q").join(docs, "id")
         one_of = lambda c, a: (F.coalesce(F.size(a), F.lit(0)) <= 0) | F.coalesce(F.array_contains(a, F.col(c)), F.lit(False))
         all_ = F.transform(F.concat(F.array("value", "label"), F.coalesce("aliases", F.array().cast("array<string>"))), F.lower)
         any_ = lambda test: F.coalesce(F.exists(all_, lambda x: F.coalesce(test(x, F.col("q")), F.lit(False))), F.lit(False))
         score = F.when(any_(lambda x, q: x == q), 1.0).when(any_(F.startswith), 0.8).when(any_(F.contains), 0.5)
-        scored = hits.where(one_of("type", "types") & one_of("layer", "layers")).withColumn("score", score).where("score is not null")
-        order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc_nulls_last("degree"), F.desc_nulls_last("seen"), "id")
-        return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("qid", "id", "score", "place")
+        scored = hits.withColumn("score", score).where("score is not null").select("q", "id", "type", "layer", "degree", "seen", "score")
+        allowed = scored.join(forms, "q").where(one_of("type", "types") & one_of("layer", "layers"))
+        order = Window.partitionBy("q", "types", "layers").orderBy(F.desc("score"), F.desc_nulls_last("degree"), F.desc_nulls_last("seen"), "id")
+        placed = allowed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+        placed = placed.select(F.col("q").alias("_q"), F.col("types").alias("_types"), F.col("layers").alias("_layers"), "id", "score", "place")
+        same = [F.col("q") == F.col("_q"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("types", "layers")]]
+        return asked.join(placed, same).select("qid", "id", "score", "place")
