@@ -295,32 +295,40 @@ def across(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
     return meetings(postings, percent).groupBy("a", "b", "need").count().where("count >= need").select("a", "b").distinct()
 
 
-def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of ``pairs`` (a, b: ids of ``members``) whose whole sets reach the threshold."""
-    pairs = materialize(possible(pairs, members, percent), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = materialize(members.select("id", "class", "rep").join(ids, "id"), "wanted")
-    bits = 22
-    places = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(1 << bits)).cast("int").alias("at")).distinct().toPandas()["at"].to_numpy(np.int64)
-    seen = np.zeros(1 << bits, bool)
-    seen[places] = True
-
-    @F.pandas_udf("boolean")
-    def maybe(at: pd.Series) -> pd.Series:
-        return pd.Series(seen[at.to_numpy(np.int64)])
+def whole_sets(wanted: DataFrame, docs: DataFrame, bits: int = 22) -> DataFrame:
+    """(id, tokens): the shingle sets of the ``wanted`` classes (id, class, rep).
 
-    near = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where(maybe(F.pmod(F.xxhash64("rep"), F.lit(1 << bits))))
+    A task makes sets only of documents whose ids may be wanted, in one Python worker. Where an id is given more than
+    once, its set is the one of the class itself.
+    """
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits)).cast("int")
+    seen = np.zeros(1 << bits, bool)
+    seen[wanted.select(at("rep").alias("at")).distinct().toPandas()["at"].to_numpy(np.int64)] = True
+    seen = np.packbits(seen)
 
-    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:  # ids given twice: only the set of the class itself
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            k = b["at"].to_numpy()
+            b = b[(seen[k >> 3] >> (7 - (k & 7)) & 1).astype(bool)]
             for lo in range(0, len(b), SLICE):
                 part = b.iloc[lo : lo + SLICE]
                 sets = [shingles(t) for t in part["text"]]
-                kept = [_signature(s) == c for s, c in zip(sets, part["class"], strict=True)]
-                yield pd.DataFrame({"id": part["id"][kept], "tokens": [s.view(np.int64) for s, k in zip(sets, kept, strict=True) if k]})
+                some = np.array([len(s) > 0 for s in sets])
+                sets = [s for s in sets if len(s)]
+                yield pd.DataFrame({"rep": part["rep"][some].astype("Int64").to_numpy(), "class": [_signature(s) for s in sets], "tokens": [s.view(np.int64) for s in sets]})
+
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("rep"), "text").select("rep", "text", at("rep").alias("at"))
+    made = texts.mapInPandas(run, "rep long, class binary, tokens array<long>").dropDuplicates(["rep", "class"])
+    m, w = made.alias("m"), wanted.alias("w")
+    return m.join(w, F.expr("m.class = w.class and m.rep <=> w.rep")).select("w.id", "m.tokens")
 
-    joined = near.join(wanted, near["rep"].eqNullSafe(wanted["rep"])).where("text is not null").select("id", "class", "text")
-    sets = materialize(joined.mapInPandas(own, "id long, tokens array<long>").dropDuplicates(["id"]), "sets")
+
+def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of ``pairs`` (a, b: ids of ``members``) whose whole sets reach the threshold."""
+    pairs = materialize(possible(pairs, members, percent), "pairs")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = materialize(members.select("id", "class", "rep").join(ids, "id"), "wanted")
+    sets = materialize(whole_sets(wanted, docs), "sets")
     both = pairs.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("right")), "b")
     both = both.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("left")), "a")
     shared = F.size(F.array_intersect("left", "right"))

@@ -60,3 +60,14 @@ def test_few_pairs_meet_below_the_threshold(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "drop_table", lambda x: None)
     joined(spark, copies(500, 3, 1))
     assert met[0].count() < 0.15 * 500 * 499 / 2
+
+
+def test_wanted_sets_need_one_python_worker_a_task(spark):
+    rows = [(1, "a b c d e f"), (1, "u v w x y z"), (None, "k l m n o p"), (2, "a b c d e f"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(7, "a b c d e f", 1), (9, "k l m n o p", None)]
+    wanted = spark.createDataFrame([(i, jaccard._signature(jaccard.shingles(t)), rep) for i, t, rep in want], "id long, class binary, rep long")
+    found = jaccard.whole_sets(wanted, docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "EvalPython" not in plan
+    assert {x.id: x.tokens for x in found.collect()} == {i: jaccard.shingles(t).view("int64").tolist() for i, t, _ in want}
