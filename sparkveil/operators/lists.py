@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.parts import dealt_by
+
 #: File endings of pages worth a closer look.
 INTERESTING = ("sql", "bak", "zip", "tar.gz", "env", "log", "conf", "pem", "key")
 _IP4 = r"^(?:\d{1,3}\.){3}\d{1,3}$"
@@ -99,10 +101,10 @@ def feed_matches(targets: DataFrame, feed: DataFrame) -> DataFrame:
     """
     from . import networks
 
-    listed = feed.where("reject is null").groupBy("list", "kind", "value").agg(F.min("category").alias("category"), F.min("note").alias("note"), F.max("confidence").alias("own"))
+    listed = dealt_by(feed.where("reject is null"), "kind", "value").groupBy("list", "kind", "value").agg(F.min("category").alias("category"), F.min("note").alias("note"), F.max("confidence").alias("own"))
     number = F.regexp_replace("value", "(?i)^asn?", "")
     asked = targets.select("target", "kind", F.when(F.col("kind") == "asn", number).when(F.col("kind") == "hash", F.lower("value")).otherwise(F.col("value")).alias("value"))
-    exact = asked.join(listed.where("kind <> 'network'"), ["kind", "value"]).withColumn("sure", F.create_map(*[F.lit(x) for kv in SURE.items() for x in kv])[F.col("kind")])
+    exact = dealt_by(asked, "kind", "value").join(listed.where("kind <> 'network'"), ["kind", "value"]).withColumn("sure", F.create_map(*[F.lit(x) for kv in SURE.items() for x in kv])[F.col("kind")])
     nets = networks.parsed(listed.where("kind = 'network'").select("list", "category", "note", "own", F.col("value").alias("cidr")))
     inside = networks.in_networks(networks.located(asked.where("kind = 'ip'"), "value"), nets)
     near = inside.select("kind", "cidr", "target", "list", "category", "note", "own").withColumn("kind", F.lit("network")).withColumnRenamed("cidr", "value").withColumn("sure", F.lit(SURE["network"]))
