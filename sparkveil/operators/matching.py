@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.parts import dealt_by
 from .networks import dealt
 
 #: The public suffixes of more than one label that the splitter knows beside single labels.
@@ -122,10 +123,11 @@ def url_prefix_matches(targets: DataFrame, listed: DataFrame) -> DataFrame:
     exact = targets.join(listed.select(F.col("key").alias("url")).distinct(), "url", "left_anti")
     a = path_prefixes(exact).select("target", "url", F.col("_u").alias("own"), "prefix")
     b = path_prefixes(listed.select("key").distinct(), "key").select("key", F.col("_u").alias("listed_own"), F.col("prefix").alias("listed_prefix"))
-    above = a.join(b.where("listed_prefix = listed_own"), F.col("prefix") == F.col("listed_own")).select("target", "url", "key")
-    below = a.where("prefix = own").join(b, F.col("own") == F.col("listed_prefix")).select("target", "url", "key")
+    whole = dealt_by(b.where("listed_prefix = listed_own").select("key", "listed_own"), "listed_own")
+    above = dealt_by(a.drop("own"), "prefix").join(whole, F.col("prefix") == F.col("listed_own")).select("target", "url", "key")
+    below = dealt_by(a.where("prefix = own").drop("prefix"), "own").join(dealt_by(b.drop("listed_own"), "listed_prefix"), F.col("own") == F.col("listed_prefix")).select("target", "url", "key")
     best = F.max_by("key", F.struct(F.length("key"), F.expr("-rank")))
-    hits = above.union(below).distinct().withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy("key")))
+    hits = dealt_by(above.union(below), "target").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy("key")))
     return hits.groupBy("target", "url").agg(best.alias("listed")).withColumn("confidence", F.lit(0.9))
 
 

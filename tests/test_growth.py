@@ -17,3 +17,13 @@ def test_feeds_meet_in_a_given_number_of_parts(spark):
     found = lists.feed_matches(targets, feed)
     assert "REPARTITION_BY_NUM" in _plan(found.where("kind = 'host'").select("target", "value", "note"))
     assert [x.target for x in found.collect()] == [1]
+
+
+def test_prefixes_meet_in_a_given_number_of_parts(spark):
+    from sparkveil.operators import matching
+
+    targets = spark.createDataFrame([(1, "http://a.b/c/d"), (2, "http://a.b"), (3, "http://x.y/")], "target long, url string")
+    listed = spark.createDataFrame([("http://a.b/c",), ("http://a.b/c/",), ("http://a.b/z",)], "key string")
+    found = matching.url_prefix_matches(targets, listed)
+    assert _plan(found).count("REPARTITION_BY_NUM") >= 5
+    assert {x.target: x.listed for x in found.collect()} == {1: "http://a.b/c/", 2: "http://a.b/c/"}
