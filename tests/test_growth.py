@@ -27,3 +27,13 @@ def test_prefixes_meet_in_a_given_number_of_parts(spark):
     found = matching.url_prefix_matches(targets, listed)
     assert _plan(found).count("REPARTITION_BY_NUM") >= 5
     assert {x.target: x.listed for x in found.collect()} == {1: "http://a.b/c/", 2: "http://a.b/c/"}
+
+
+def test_relations_are_joined_once_for_degrees(spark):
+    from sparkveil.operators import states
+    from sparkveil.sources import bindings
+
+    plan = _plan(states.degrees(bindings.relations(spark, "/root/testdata/sf0.001")))
+    assert plan.count("lineitem.parquet") == 1 and "REPARTITION_BY_NUM" in plan
+    rows = spark.createDataFrame([(1, 2), (1, None), (2, 2)], "src long, dst long")
+    assert {x.node: x.degree for x in states.degrees(rows).collect()} == {1: 2, 2: 3, None: 1}
