@@ -37,3 +37,12 @@ def test_relations_are_joined_once_for_degrees(spark):
     assert plan.count("lineitem.parquet") == 1 and "REPARTITION_BY_NUM" in plan
     rows = spark.createDataFrame([(1, 2), (1, None), (2, 2)], "src long, dst long")
     assert {x.node: x.degree for x in states.degrees(rows).collect()} == {1: 2, 2: 3, None: 1}
+
+
+def test_documents_meet_degrees_in_a_given_number_of_parts(spark):
+    from sparkveil.operators import search
+
+    entities = spark.createDataFrame([(1, "t", "v", "l"), (2, "t", "v", "l")], "id long, type string, value string, label string")
+    found = search.with_degree(entities, spark.createDataFrame([(1, 5)], "node long, degree long"))
+    assert "REPARTITION_BY_NUM" in _plan(found)
+    assert {x.id: x.degree for x in found.collect()} == {1: 5, 2: 0}
