@@ -46,3 +46,20 @@ def test_documents_meet_degrees_in_a_given_number_of_parts(spark):
     found = search.with_degree(entities, spark.createDataFrame([(1, 5)], "node long, degree long"))
     assert "REPARTITION_BY_NUM" in _plan(found)
     assert {x.id: x.degree for x in found.collect()} == {1: 5, 2: 0}
+
+
+def test_error_marks_let_every_hit_through(spark):
+    from pyspark.sql import functions as F
+
+    from sparkveil.operators import webintel
+
+    hits = [
+        "wArning: x in a.php", "Fatal error : x in y on line 3", "Stack trace: #0 ", "Traceback (most recent call last):", "WARNING: MYSQL_", "com.mysql.jdbc", "error:  SYNTAX error at or near", "ORG.postgresql.util.PSQL", "[SQL SERVER]", "System.Data.SqlClient",
+        "ORA-12345", "SQLite::", "SQLITE3.operationalerror", "[Microsoft][ODBC", "odbc DRIVER", "server error in '/x' application", "system.x.Exception", "(NoMethodError)", "a.rb:3:in `", "at a.b (/x/y.js:1:2)", "java.lang.Error", "org.x.SomeException: b", "at a.b(C.java:3)",
+        "/var/a", "/srv/b", "C:\\x", "db_password = 1", "\n API_KEY: x",
+    ]
+    assert len(webintel.MARKS) == len(webintel.ERRORS)
+    rows = spark.createDataFrame([(h,) for h in hits], "text string").withColumn("low", F.lower("text"))
+    both = [(F.col("text").rlike(p), webintel._marked("low", m)) for (_, p), m in zip(webintel.ERRORS, webintel.MARKS, strict=True)]
+    found = rows.select("text", F.array(*[h for h, _ in both]).alias("hit"), F.array(*[h & ~m for h, m in both]).alias("lost")).collect()
+    assert all(any(x.hit) and not any(x.lost) for x in found)
