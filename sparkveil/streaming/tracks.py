@@ -19,10 +19,6 @@ IDLE_MS = 40 * 86_400_000
 STATE = "id string, t long, lat double, lon double, alt double, name string, heading double, speed double"
 
 
-def _last_known(old, new):
-    return old if new is None or new != new else new
-
-
 def _in_order(frames: Iterator[pd.DataFrame], least: float) -> pd.DataFrame:
     """The rows of one batch with ``t`` of at least ``least``, by ``seq``."""
     return pd.concat([f[f["t"] >= least] for f in frames]).sort_values("seq")
@@ -40,12 +36,13 @@ def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
         return
     have = state.get if state.exists else None
     rows = _in_order(frames, -float("inf") if have is None else have[0])
-    for r in rows.itertuples(index=False):
-        if have is not None and r.t < have[0]:
-            continue
+    rows = rows[rows["t"] == rows["t"].cummax()]  # those that are no older than any before
+    if len(rows):
+        last = rows.iloc[-1]
+        known = [rows[c].dropna() for c in ("name", "heading", "speed")]
         kept = have[4:] if have is not None else (None, None, None)
-        alt = None if pd.isna(r.alt) else float(r.alt)
-        have = (int(r.t), float(r.lat), float(r.lon), alt, *[_last_known(o, None if pd.isna(n) else n) for o, n in zip(kept, (r.name, r.heading, r.speed), strict=True)])
+        alt = None if pd.isna(last["alt"]) else float(last["alt"])
+        have = (int(last["t"]), float(last["lat"]), float(last["lon"]), alt, *[c.iloc[-1] if len(c) else o for o, c in zip(kept, known, strict=True)])
     if have is None:
         return
     state.update(have)

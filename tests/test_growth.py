@@ -63,3 +63,30 @@ def test_error_marks_let_every_hit_through(spark):
     both = [(F.col("text").rlike(p), webintel._marked("low", m)) for (_, p), m in zip(webintel.ERRORS, webintel.MARKS, strict=True)]
     found = rows.select("text", F.array(*[h for h, _ in both]).alias("hit"), F.array(*[h & ~m for h, m in both]).alias("lost")).collect()
     assert all(any(x.hit) and not any(x.lost) for x in found)
+
+
+def test_state_of_a_track_takes_no_loop_over_its_fixes(monkeypatch):
+    from sparkveil.streaming import tracks
+
+    class State:
+        hasTimedOut, exists, get = False, True, (5, 1.0, 1.0, None, "old", 7.0, None)
+
+        def update(self, have):
+            self.now = have
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def setTimeoutTimestamp(self, t):
+            pass
+
+    def no(*a, **b):
+        raise AssertionError("rows are taken one by one")
+
+    monkeypatch.setattr(pd.DataFrame, "itertuples", no)
+    columns = ["seq", "t", "lat", "lon", "alt", "name", "heading", "speed"]
+    rows = pd.DataFrame([(4, 9, 4.0, 4.0, None, None, None, 3.0), (1, 4, 9.0, 9.0, 9.0, "late", 9.0, 9.0), (2, 10, 2.0, 2.0, 2.0, "new", None, None), (3, 10, 3.0, 3.0, None, None, None, 8.0)], columns=columns)
+    out = next(tracks._fold(("x",), iter([rows[:2], rows[2:]]), s := State()))
+    assert s.now == (10, 3.0, 3.0, None, "new", 7.0, 8.0) and out["t"].tolist() == [10]
+    list(tracks._fold(("x",), iter([rows[1:2]]), s))
+    assert s.now == s.get  # a batch of late fixes alone changes nothing
