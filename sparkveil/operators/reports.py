@@ -34,16 +34,16 @@ def contacts(records: DataFrame, key: str, raw: str = "raw") -> DataFrame:
     their ``depth`` (the outermost are 0), four levels in all. Organisations are those that say so, or whose name is
     that of their organisation.
     """
-    level = records.select(key, _at(F.try_parse_json(raw), "$.entities", "array<variant>").alias("es"))
-    rows = None
-    for depth in range(DEPTH):
-        here = level.select(key, F.explode("es").alias("e"))
-        told = here.select(key, F.lit(depth).alias("depth"), "e")
-        rows = told if rows is None else rows.unionByName(told)
-        level = here.select(key, _at(F.col("e"), "$.entities", "array<variant>").alias("es"))
+    inside = lambda v: F.coalesce(_at(v, "$.entities", "array<variant>"), F.array().cast("array<variant>"))
+    levels = records.select(key, inside(F.try_parse_json(raw)).alias("_0"))  # a record is parsed once
+    for depth in range(1, DEPTH):
+        levels = levels.withColumn(f"_{depth}", F.flatten(F.transform(f"_{depth - 1}", inside)))
+    at_depth = lambda depth: lambda e: F.struct(F.lit(depth).alias("depth"), e.alias("e"))
+    told = [F.transform(f"_{depth}", at_depth(depth)) for depth in range(DEPTH)]
+    rows = levels.select(key, F.explode(F.concat(*told)).alias("_r")).select(key, "_r.depth", "_r.e")
     card = F.filter(F.coalesce(_at(F.col("e"), "$.vcardArray[1]", "array<variant>"), F.array().cast("array<variant>")), lambda p: _at(p, "$[0]").isNotNull() & _at(p, "$[2]").isNotNull())
-    carded = rows.withColumn("card", card)
-    of = lambda name: F.filter("card", lambda p: F.lower(_at(p, "$[0]")) == name)
+    carded = rows.withColumn("card", F.transform(card, lambda p: F.struct(F.lower(_at(p, "$[0]")).alias("name"), p.alias("p"))))
+    of = lambda name: F.transform(F.filter("card", lambda c: c["name"] == name), lambda c: c["p"])
     text = lambda p: F.trim(_at(p, "$[3]"))
 
     def place(p: Column) -> Column:

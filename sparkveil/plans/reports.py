@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.parts import dealt_by
 from ..operators import reports as r
 from ..sources import bindings as b
 from .registry import query, sql
@@ -20,7 +21,7 @@ _RECORD = """concat('{"entities": [{"handle": "H', c_custkey, '", "roles": ["reg
     union all select c_custkey, 2, null, 'abuse', null, null, null, '', '', '', null from customer where c_custkey % 10 > 0
     union all select c_custkey, 0, null, '', null, null, null, '', '', '', null from customer where c_custkey % 10 > 0""")
 def contacts(spark, sf):
-    raw = b.load(spark, sf, "customer").selectExpr("c_custkey as target", f"if(c_custkey % 10 = 0, '{{torn', {_RECORD}) as raw")
+    raw = dealt_by(b.load(spark, sf, "customer"), "c_custkey").selectExpr("c_custkey as target", f"if(c_custkey % 10 = 0, '{{torn', {_RECORD}) as raw")
     found = r.contacts(raw, "target")
     return found.withColumns({c: F.array_join(c, ",") for c in ("roles", "emails", "phones", "addresses")})
 

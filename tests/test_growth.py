@@ -90,3 +90,12 @@ def test_state_of_a_track_takes_no_loop_over_its_fixes(monkeypatch):
     assert s.now == (10, 3.0, 3.0, None, "new", 7.0, 8.0) and out["t"].tolist() == [10]
     list(tracks._fold(("x",), iter([rows[1:2]]), s))
     assert s.now == s.get  # a batch of late fixes alone changes nothing
+
+
+def test_registration_records_are_parsed_once(spark):
+    from sparkveil.operators import reports
+
+    raw = '{"entities": [{"handle": "A", "entities": [{"handle": "B", "entities": [7, {"handle": "C", "entities": [{"handle": "D", "entities": [{"handle": "E"}]}]}]}]}, {"handle": "F"}]}'
+    found = reports.contacts(spark.createDataFrame([(1, raw), (2, "{torn"), (3, "{}"), (4, None)], "id long, raw string"), "id")
+    assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json") <= 1 or _plan(found).lower().count("parsejson") == 1
+    assert sorted((x.id, x.depth, x.handle or "") for x in found.collect()) == [(1, 0, "A"), (1, 0, "F"), (1, 1, "B"), (1, 2, ""), (1, 2, "C"), (1, 3, "D")]
