@@ -99,3 +99,12 @@ def test_registration_records_are_parsed_once(spark):
     found = reports.contacts(spark.createDataFrame([(1, raw), (2, "{torn"), (3, "{}"), (4, None)], "id long, raw string"), "id")
     assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json") <= 1 or _plan(found).lower().count("parsejson") == 1
     assert sorted((x.id, x.depth, x.handle or "") for x in found.collect()) == [(1, 0, "A"), (1, 0, "F"), (1, 1, "B"), (1, 2, ""), (1, 2, "C"), (1, 3, "D")]
+
+
+def test_kept_edges_join_their_relations_once(spark, monkeypatch):
+    from sparkveil.plans import kept
+
+    seen = []
+    monkeypatch.setattr(kept, "_filled", lambda table, rows, order: seen.append(rows) or rows)
+    kept.edges(spark, "/root/testdata/sf0.001")
+    assert "Join" not in _plan(seen[0])
