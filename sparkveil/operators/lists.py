@@ -77,15 +77,28 @@ def crawl_index(lines: DataFrame) -> DataFrame:
     return rows.select(*[c for c in lines.columns if c != "line"], F.col("_x.url").alias("url"), F.col("_x.status").alias("status"), F.col("_x.mime").alias("mime"), host.alias("host"), ending.alias("interesting"))
 
 
+def says_missing(body: Column, messages: Column) -> Column:
+    """Whether a page says that there is no such account: it holds one of ``messages``."""
+    return F.exists(F.coalesce(messages, F.array().cast("array<string>")), lambda m: (m != "") & F.contains(body, m))
+
+
+def sent_on(final_url: Column, error_url: Column) -> Column:
+    """Whether an answer came from ``error_url``, but for slashes at the end. Trimming is dear, so beginnings are compared first."""
+    bare = lambda url: F.when(F.endswith(url, F.lit("/")), F.rtrim(url, F.lit("/"))).otherwise(url)
+    return F.coalesce((error_url != "") & F.startswith(final_url, bare(error_url)) & (bare(final_url) == bare(error_url)), F.lit(False))
+
+
 def account_exists(answers: DataFrame) -> DataFrame:
     """``answers`` with account: whether an answer (status, final_url, body) says that an account exists.
 
     Sites differ in ``style``: ``status_code`` (any 2xx), ``message`` (2xx and none of ``messages`` in the body) or
-    ``response_url`` (2xx, and not sent on to ``error_url``). No other status says so, whatever the style.
+    ``response_url`` (2xx, and not sent on to ``error_url``). No other status says so, whatever the style. Where many
+    answers share a body or final_url, these may be judged once before, by ``says_missing`` and ``sent_on``: columns
+    ``missing`` and ``sent_on`` stand for the texts.
     """
-    missing = F.exists(F.coalesce("messages", F.array().cast("array<string>")), lambda m: (m != "") & F.contains("body", m))
-    sent_on = F.coalesce((F.col("error_url") != "") & (F.rtrim(F.col("final_url"), F.lit("/")) == F.rtrim(F.col("error_url"), F.lit("/"))), F.lit(False))
-    told = F.when(F.col("style") == "message", ~missing).when(F.col("style") == "response_url", ~sent_on).otherwise(True)
+    missing = F.col("missing") if "missing" in answers.columns else says_missing(F.col("body"), F.col("messages"))
+    back = F.col("sent_on") if "sent_on" in answers.columns else sent_on(F.col("final_url"), F.col("error_url"))
+    told = F.when(F.col("style") == "message", ~missing).when(F.col("style") == "response_url", ~back).otherwise(True)
     return answers.withColumn("account", F.coalesce(F.col("status").between(200, 299) & told, F.lit(False)))
 
 
